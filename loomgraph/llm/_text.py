@@ -7,6 +7,7 @@ the distinct words are touched again.  Nothing depends on Python's own hash.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+SLICE_ROWS = 60_000
 _POS = 64
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(
     0, 2**64, size=_POS * 256, dtype=np.uint64, endpoint=False
@@ -86,6 +88,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     at = 0
     while at < len(batch):
         end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+        end = min(end, at + SLICE_ROWS)
         yield batch.slice(at, end - at)
         at = end
 
@@ -167,6 +170,35 @@ def from_bytes(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), kind)
 
 
+def small_ints(values: np.ndarray) -> bytes:
+    """Non-negative integers in the fewest bytes each; the first byte tells how many."""
+    top = int(values.max()) if len(values) else 0
+    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+
+
+def read_small_ints(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 8: np.uint64}[blob[0]], offset=1).astype(np.int64)
+
+
+def low_bytes(values: np.ndarray, k: int) -> bytes:
+    """The k low bytes of each 64-bit value."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k]).tobytes()
+
+
+def read_low_bytes(blob: bytes, k: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, k)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :k] = raw
+    return out.reshape(-1).view("<u8")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession) -> None:
     """Make sure checkpoint() has a folder: the one that the cluster names, else a temporary one of our own."""
     sc = spark.sparkContext
@@ -178,7 +210,9 @@ def shared_folder(spark: SparkSession) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
 
 
 def documents(docs: DataFrame, *columns: str) -> DataFrame:

@@ -35,6 +35,7 @@ from . import _text as T
 N, THRESHOLD = 3, 0.7
 BLOCK = 1024
 _MASK = np.uint64(0x7FFFFFFFFFFFFFFF)
+_KEPT = 6  # bytes of the hash that travel, besides the number of the column block
 
 
 def need(threshold: float, size):
@@ -79,7 +80,7 @@ def _incidence(n: int, blocks: int):
                 block = (g % np.uint64(blocks)).astype(np.uint16 if blocks <= 65536 else np.uint32)
                 order = np.argsort(block, kind="stable")
                 cut = np.searchsorted(block[order], np.arange(blocks + 1))
-                g, rows = g[order], rows[order].astype(np.uint32)
+                g, rows = g[order] // np.uint64(blocks), rows[order].astype(np.uint16)
                 r = (part << 24) | k
                 k += 1
                 there = [b for b in range(blocks) if cut[b + 1] > cut[b] or b == r % blocks]
@@ -87,7 +88,7 @@ def _incidence(n: int, blocks: int):
                     [
                         pa.array(there, pa.int32()),
                         pa.array([r] * len(there), pa.int64()),
-                        pa.array([g[cut[b] : cut[b + 1]].tobytes() for b in there], pa.binary()),
+                        pa.array([T.low_bytes(g[cut[b] : cut[b + 1]], _KEPT) for b in there], pa.binary()),
                         pa.array([rows[cut[b] : cut[b + 1]].tobytes() for b in there], pa.binary()),
                         pa.array([ids.tobytes() if b == r % blocks else None for b in there], pa.binary()),
                     ],
@@ -99,11 +100,11 @@ def _incidence(n: int, blocks: int):
 
 def _columns(table: pa.Table) -> pa.Table:
     """One column block: distinct (n-gram, document), frequencies, and back to row blocks without the lone columns."""
-    rs = table.column("r").to_numpy()
-    g = T.from_bytes(table.column("grams"), np.uint64)
-    n = np.array([len(x.as_py() or b"") // 8 for x in table.column("grams")], np.int64)
+    rs, p = table.column("r").to_numpy(), table.column("p")[0].as_py()
+    g = T.read_low_bytes(b"".join(table.column("grams").to_pylist()), _KEPT)
+    n = np.array([len(x) // _KEPT for x in table.column("grams").to_pylist()], np.int64)
     src = np.repeat(np.arange(len(rs)), n)
-    row = T.from_bytes(table.column("rows"), np.uint32).astype(np.int64)
+    row = T.from_bytes(table.column("rows"), np.uint16).astype(np.int64)
     doc = (src << 32) | row
     order = np.lexsort((doc, g))
     g, doc = g[order], doc[order]
@@ -112,22 +113,22 @@ def _columns(table: pa.Table) -> pa.Table:
     g, doc = g[first], doc[first]
     off = T.runs(g)
     df = np.diff(off)
-    df_of = np.repeat(df, df)
+    df_of = np.repeat(np.minimum(255, np.ceil(8 * np.log2(df))).astype(np.uint8), df)  # 0: a lone document
     order = np.argsort(doc, kind="stable")
     g, doc, df_of = g[order], doc[order], df_of[order]
     cut = np.searchsorted(doc >> 32, np.arange(len(rs) + 1))
-    out = {k: [] for k in ("r", "grams", "df", "rows", "sizes", "ids")}
+    out = {k: [] for k in ("r", "p", "grams", "df", "rows", "sizes", "ids")}
     for i in range(len(rs)):
         s = slice(cut[i], cut[i + 1])
-        rows, keep = doc[s] & 0xFFFFFFFF, df_of[s] > 1
+        rows, keep = doc[s] & 0xFFFFFFFF, df_of[s] > 0
         out["r"].append(int(rs[i]))
-        out["grams"].append(g[s][keep].tobytes())
-        out["df"].append(np.minimum(df_of[s][keep], 2**32 - 1).astype(np.uint32).tobytes())
-        out["rows"].append(rows[keep].astype(np.uint32).tobytes())
-        sizes = np.bincount(rows.astype(np.int64)) if len(rows) else np.zeros(0, np.int64)
-        out["sizes"].append(sizes.astype(np.uint32).tobytes())
+        out["p"].append(p)
+        out["grams"].append(T.low_bytes(g[s][keep], _KEPT))
+        out["df"].append(df_of[s][keep].tobytes())
+        out["rows"].append(rows[keep].astype(np.uint16).tobytes())
+        out["sizes"].append(T.small_ints(np.bincount(rows.astype(np.int64)) if len(rows) else np.zeros(0, np.int64)))
         out["ids"].append(table.column("ids")[i].as_py())
-    return pa.table(out, schema=pa.schema([("r", pa.int64()), *((k, pa.binary()) for k in ("grams", "df", "rows", "sizes", "ids"))]))
+    return pa.table(out, schema=pa.schema([("r", pa.int64()), ("p", pa.int32()), *((k, pa.binary()) for k in ("grams", "df", "rows", "sizes", "ids"))]))
 
 
 def _rows(threshold: float):
@@ -136,10 +137,12 @@ def _rows(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         ids = T.from_bytes(table.column("ids"), np.int64)
         size = np.zeros(len(ids), np.int64)
-        for x in table.column("sizes"):
-            v = np.frombuffer(x.as_py(), np.uint32)
+        for x in table.column("sizes").to_pylist():
+            v = T.read_small_ints(x)
             size[: len(v)] += v
-        g, df, row = (T.from_bytes(table.column(c), k) for c, k in (("grams", np.uint64), ("df", np.uint32), ("rows", np.uint32)))
+        g = [T.read_low_bytes(x, _KEPT) + np.uint64(p * 0xD6E8FEB86659FD93 % 2**64) for x, p in zip(table.column("grams").to_pylist(), table.column("p").to_pylist())]
+        g = T.mix(np.concatenate(g)) & _MASK
+        df, row = T.from_bytes(table.column("df"), np.uint8), T.from_bytes(table.column("rows"), np.uint16).astype(np.int64)
         shared = np.bincount(row, minlength=len(ids))
         stays = (size > 0) & (shared >= np.maximum(1, need(threshold, size)))
         keep = stays[row]
@@ -169,7 +172,7 @@ def sets_with_partners(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     while blocks * 2000 < count and blocks < 1 << 20:
         blocks *= 2
     inc = docs.mapInArrow(_incidence(n, blocks), "p int, r bigint, grams binary, rows binary, ids binary")
-    cols = inc.groupBy("p").applyInArrow(_columns, "r bigint, grams binary, df binary, rows binary, sizes binary, ids binary")
+    cols = inc.groupBy("p").applyInArrow(_columns, "r bigint, p int, grams binary, df binary, rows binary, sizes binary, ids binary")
     return cols.groupBy("r").applyInArrow(_rows(threshold), ROWS)
 
 
