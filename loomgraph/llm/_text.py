@@ -130,6 +130,50 @@ def split_lines(arr: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return lists.flatten(), np.repeat(np.arange(len(arr)), np.diff(off)), within(off)
 
 
+_SPACES = {"space": np.isin(np.arange(256), [32]), "all": np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])}
+
+
+class Units:
+    """A column cut before every white-space run that follows something else: `codes` into `uniq`, row `offsets` and the
+    byte where each unit `starts` within the column.  Units joined give the column again.
+
+    A run is not cut off where the character before it might itself be white space, or normalise to it (two bytes from
+    C2, three from E1 to EF): such units are longer, which costs time only.
+    """
+
+    def __init__(self, arr: pa.Array, spaces: str = "all"):
+        raw, self.bytes = utf8_parts(arr)
+        white = _SPACES[spaces][raw]
+        start = np.zeros(len(raw) + 1, bool)
+        if len(raw) > 3:
+            at = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+            b, c = raw[np.maximum(at - 2, 0)], raw[np.maximum(at - 3, 0)]
+            wide = (raw[at - 1] >= 0x80) & ((b == 0xC2) | (c >= 0xE1))
+            start[at[~wide]] = True
+        start[self.bytes] = True
+        self.starts = np.flatnonzero(start)  # the last one is the end
+        if self.starts[-1] != len(raw):
+            self.starts = np.append(self.starts, len(raw))
+        self.offsets = np.searchsorted(self.starts, self.bytes)
+        n = len(self.starts) - 1
+        units = pa.StringArray.from_buffers(n, pa.py_buffer(self.starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw)))
+        enc = units.dictionary_encode()
+        self.uniq, self.codes = enc.dictionary, enc.indices.to_numpy(zero_copy_only=False)
+
+
+def expand(values: np.ndarray, off: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists (values, off) of the codes in turn: (index into values, offsets of the result)."""
+    n = np.diff(off)[codes]
+    o = np.concatenate([[0], np.cumsum(n)])
+    return np.repeat(off[:-1][codes] - o[:-1], n) + np.arange(o[-1]), o
+
+
+def sampled(docs: DataFrame, rows: int, seed: int = 7) -> DataFrame:
+    """About `rows` rows, chosen by a hash of doc_id: a bounded sample, the same in every run."""
+    share = min(1.0, rows / max(1, docs.count()))
+    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Start offsets of the runs of equal keys, with the length at the end."""
     if not len(sorted_keys):
