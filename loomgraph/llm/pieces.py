@@ -109,7 +109,7 @@ class CharMap:
 class Encoder:
     """A model with a character map; made once in each process."""
 
-    def __init__(self, model: bytes, charmap: bytes | None):
+    def __init__(self, model: bytes, charmap: bytes | None, facts: tuple[bool, bool] | None = None):
         import sentencepiece as sp
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -130,13 +130,17 @@ class Encoder:
         self.unknown = {i for i, p in enumerate(proto.pieces) if p.type == 2}
         self.surface = [bytes([int(n[3:5], 16)]) if b else n.replace("▁", " ").encode() for n, b in zip(names, self.bytes_)]
         self.length = np.array([len(x) for x in self.surface], np.int32)
+        #: whether units can be encoded by themselves, and whether ASCII stays as it is; listing the map takes a second, so the driver passes this on
+        self.facts = facts or self._facts(names, [p.type for p in proto.pieces])
+        self.apart, self.plain = self.facts
+
+    def _facts(self, names: list[str], types: list[int]) -> tuple[bool, bool]:
         entries = self.map.keys()
-        apart = not any("▁" in n.lstrip("▁") for n in names) and not any(p.type == 4 for p in proto.pieces)
+        apart = not any("▁" in n.lstrip("▁") for n in names) and 4 not in types
         # an entry may start with a space, but must not hold one further on; what ends in a space is never cut off (T.Units)
         apart = apart and not any(b" " in k.lstrip(b" ") for k, _ in entries)
         apart = apart and all(len(k) > 1 and (k[-2] == 0xC2 or (len(k) > 2 and k[-3] >= 0xE1)) for k, v in entries if v.endswith(b" ") or not v)
-        self.apart = apart and not self.squeeze
-        self.plain = not any(k.isascii() for k, _ in entries)
+        return apart and not self.squeeze, not any(k.isascii() for k, _ in entries)
 
     def normalise(self, unit: str, first: bool) -> tuple[bytes, np.ndarray]:
         raw = unit.encode()
@@ -215,10 +219,10 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder(model: bytes, charmap: bytes | None) -> Encoder:
+def encoder(model: bytes, charmap: bytes | None, facts: tuple[bool, bool] | None = None) -> Encoder:
     key = hash((model, charmap))
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(model, charmap)
+        _ENCODERS[key] = Encoder(model, charmap, facts)
     return _ENCODERS[key]
 
 
@@ -238,7 +242,8 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, charmap: str | None = CHA
     """(doc_id, ids, begins, ends, round_trip): the pieces of every text with their spans of its UTF-8 bytes, and whether decoding them gives the text; see the module for edge cases."""
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"])
     with open(model, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast((f.read(), compiled(charmap)))
+        content, charmap = f.read(), compiled(charmap)
+    shared = docs.sparkSession.sparkContext.broadcast((content, charmap, encoder(content, charmap).facts))
 
     def run(batches):
         e = encoder(*shared.value)
