@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, line_dedup, ngram_join, pieces, pii, resampling, secrets, token_binary
+from . import decontamination, langid, line_dedup, ngram_join, pieces, pii, resampling, secrets, token_binary, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.binary_ids(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_importance_resampling": op6_importance_resampling,
     "op7_language_spans": op7_language_spans,
     "op8_token_binary": op8_token_binary,
+    "op9_vector_near_copies": op9_vector_near_copies,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
