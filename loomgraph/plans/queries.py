@@ -97,7 +97,7 @@ def _(spark, d):
     return search.related(trade_graph(spark, d), "supplier:1", "degree", entity_type="part")
 
 
-@register("related_path", ENDS + ", h1 AS (SELECT DISTINCT other AS node_id FROM ends WHERE node_id = 'nation:1'), h2 AS (SELECT DISTINCT e.other AS node_id FROM ends e JOIN h1 USING (node_id) WHERE e.other <> 'nation:1' AND e.other NOT IN (SELECT node_id FROM h1)) SELECT node_id, CASE WHEN node_id LIKE 'region:%' THEN 1.0 ELSE 0.9 END AS score FROM h1 UNION ALL SELECT node_id, 0.5 FROM h2 ORDER BY score DESC, lower(node_id), node_id LIMIT 10")
+@register("related_path", ENDS + ", h1 AS (SELECT DISTINCT other AS node_id FROM ends WHERE node_id = 'nation:1'), h2 AS (SELECT DISTINCT e.other AS node_id FROM ends e JOIN h1 USING (node_id) WHERE e.other <> 'nation:1' AND e.other NOT IN (SELECT node_id FROM h1)) SELECT node_id, CAST(CASE WHEN node_id LIKE 'region:%' THEN 1.0 ELSE 0.9 END AS DOUBLE) AS score FROM h1 UNION ALL SELECT node_id, CAST(0.5 AS DOUBLE) FROM h2 ORDER BY score DESC, lower(node_id), node_id LIMIT 10")
 def _(spark, d):
     return search.related(place_graph(spark, d), "nation:1", "shortest_path").withColumn("score", F.round("score", 6))
 
