@@ -214,6 +214,19 @@ def from_bytes(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), kind)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of the values, all first bytes before all second ones and so on: what is zero or alike compresses."""
+    k = values.dtype.itemsize
+    return values.view(np.uint8).reshape(-1, k).T.tobytes()
+
+
+def from_planes(column, kind) -> np.ndarray:
+    """One array from a column of `planes`."""
+    k = np.dtype(kind).itemsize
+    parts = [np.frombuffer(x, np.uint8).reshape(k, -1) for x in column.to_pylist() if x]
+    return np.ascontiguousarray(np.concatenate(parts, 1).T).view(kind).reshape(-1) if parts else np.zeros(0, kind)
+
+
 def small_ints(values: np.ndarray) -> bytes:
     """Non-negative integers in the fewest bytes each; the first byte tells how many."""
     top = int(values.max()) if len(values) else 0

@@ -10,11 +10,12 @@ that one goes too.
 2. Lines with equal sets fold into the earliest.  One shuffle, of hashes only.
 3. Of a set of size n only the n - ceil(t n) + 1 rarest words can be the first
    that a pair shares.  Words that occur once in the corpus match nothing.  The
-   rest meet by word; length and position bound the overlap before a pair is
-   taken.
+   rest meet by word; length, position and a 64-bit signature of the words
+   bound the overlap before a pair is taken.
 4. The words of the lines in pairs are read again and the Jaccard index is
-   computed exactly.  A bitmap tells which documents to read; it only saves
-   work, the join after it decides.
+   computed exactly: for the earliest candidate of each line first, then for
+   all others of the lines whose earliest is no match.  A bitmap tells which
+   documents to read; it only saves work, the join after it decides.
 
 Defined results
 * null doc_id: left as it is.  Null or empty text and lines of white space: never matched, never removed.
@@ -105,6 +106,15 @@ def _sets(lines: pa.Array, level: np.ndarray | None = None, bits: int = 0):
     return h[u], lv[u], off
 
 
+def _bits(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """64-bit signature of each set: a bit for each word, by its hash."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    full = off[1:] > off[:-1]
+    if full.any():
+        out[full] = np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(58)), off[:-1][full])
+    return out
+
+
 def _take(values: np.ndarray, off: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Values of the lists in another order."""
     n = np.diff(off)[order]
@@ -112,7 +122,7 @@ def _take(values: np.ndarray, off: np.ndarray, order: np.ndarray) -> np.ndarray:
     return values[np.repeat(off[:-1][order] - o[:-1], n) + np.arange(o[-1])]
 
 
-_FIELDS = (("a", np.uint64), ("b", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("m", np.int32), ("tok", np.uint64), ("pos", np.int32))
+_FIELDS = (("a", np.uint64), ("sig", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("m", np.int32), ("tok", np.uint64), ("pos", np.int32))
 
 
 def _lines(threshold: float, blocks: int, bits: int, levels):
@@ -126,13 +136,13 @@ def _lines(threshold: float, blocks: int, bits: int, levels):
                 lines, row, number = T.split_lines(piece.column("text"))
                 h, lv, off = _sets(lines, level, bits)
                 n = np.diff(off)
-                a, b = T.seg_sum(T.mix(h + np.uint64(1)), off), T.seg_sum(T.mix(h ^ np.uint64(0x5555)), off)
+                a, sig = T.seg_sum(T.mix(h + np.uint64(1)), off), _bits(h, off)
                 prefix = np.where(n >= threshold * (n + 1) - 1e-9, n - need(threshold, n) + 1, 0)
                 pos = T.within(off)
                 keep = (pos < np.repeat(prefix, n)) & (lv > 1)
                 m = np.add.reduceat(keep, off[:-1][n > 0]) if (n > 0).any() else np.zeros(0, int)
                 some = np.flatnonzero(n > 0)
-                a, b, n = a[some], b[some], n[some]
+                a, sig, n = a[some], sig[some], n[some]
                 tok_off = np.concatenate([[0], np.cumsum(m)])
                 tok, pos = h[keep], pos[keep]
                 block = (a % np.uint64(blocks)).astype(np.int64)
@@ -140,12 +150,12 @@ def _lines(threshold: float, blocks: int, bits: int, levels):
                 cut = np.searchsorted(block[order], np.arange(blocks + 1))
                 tok, pos = _take(tok, tok_off, order), _take(pos, tok_off, order)
                 tcut = np.concatenate([[0], np.cumsum(np.asarray(m)[order])])[cut]
-                cols = {"a": a[order], "b": b[order], "doc": ids[row[some]][order], "line": number[some][order], "n": n[order], "m": np.asarray(m)[order], "tok": tok, "pos": pos}
+                cols = {"a": a[order], "sig": sig[order], "doc": ids[row[some]][order], "line": number[some][order], "n": n[order], "m": np.asarray(m)[order], "tok": tok, "pos": pos}
                 there = np.flatnonzero(np.diff(cut)).tolist()
                 if there:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(there, pa.int32())]
-                        + [pa.array([(cols[k][tcut[p] : tcut[p + 1]] if k in ("tok", "pos") else cols[k][cut[p] : cut[p + 1]]).astype(t).tobytes() for p in there], pa.binary()) for k, t in _FIELDS],
+                        + [pa.array([T.planes((cols[k][tcut[p] : tcut[p + 1]] if k in ("tok", "pos") else cols[k][cut[p] : cut[p + 1]]).astype(t)) for p in there], pa.binary()) for k, t in _FIELDS],
                         ["p", *(k for k, _ in _FIELDS)],
                     )
 
@@ -154,12 +164,12 @@ def _lines(threshold: float, blocks: int, bits: int, levels):
 
 def _fold(table: pa.Table) -> pa.Table:
     """Lines with equal sets point to the earliest; only that one keeps its words."""
-    c = {k: T.from_bytes(table.column(k), t) for k, t in _FIELDS}
+    c = {k: T.from_planes(table.column(k), t) for k, t in _FIELDS}
     tok_off = np.concatenate([[0], np.cumsum(c["m"], dtype=np.int64)])
-    order = np.lexsort((c["line"], c["doc"], c["b"], c["a"]))
-    a, b, doc, line = (c[k][order] for k in ("a", "b", "doc", "line"))
+    order = np.lexsort((c["line"], c["doc"], c["n"], c["sig"], c["a"]))
+    a, sig, n, doc, line = (c[k][order] for k in ("a", "sig", "n", "doc", "line"))
     new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new[1:] = (a[1:] != a[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])
     same = np.zeros(len(a), bool)
     same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (line[1:] == line[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
@@ -174,14 +184,15 @@ def _fold(table: pa.Table) -> pa.Table:
     ok = np.concatenate([[0], np.cumsum(mk, dtype=np.int64)])
     return pa.table(
         [
-            pa.array(doc[keep]), pa.array(line[keep]), pa.array(doc[head][keep]), pa.array(line[head][keep]), pa.array(c["n"][order][keep]),
+            pa.array(doc[keep]), pa.array(line[keep]), pa.array(doc[head][keep]), pa.array(line[head][keep]), pa.array(n[keep]),
+            pa.array(np.where(mk > 0, sig[keep], 0).view(np.int64)),
             T.as_list(tok, ok, pa.int64()), T.as_list(pos, ok, pa.int32()),
         ],
-        names=["doc_id", "line_no", "head_doc", "head_line", "n", "tok", "pos"],
+        names=["doc_id", "line_no", "head_doc", "head_line", "n", "sig", "tok", "pos"],
     )
 
 
-_POST = (("tok", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32))
+_POST = (("tok", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32), ("sig", np.int64))
 
 
 def _postings(blocks: int):
@@ -196,7 +207,7 @@ def _postings(blocks: int):
             po = p.offsets.to_numpy()
             m = np.diff(off)
             cols = {"tok": tok, "pos": p.values.to_numpy()[po[0] : po[-1]]}
-            for k, src in (("doc", "doc_id"), ("line", "line_no"), ("n", "n")):
+            for k, src in (("doc", "doc_id"), ("line", "line_no"), ("n", "n"), ("sig", "sig")):
                 cols[k] = np.repeat(batch.column(src).to_numpy(), m)
             block = (T.mix(tok) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
@@ -205,7 +216,7 @@ def _postings(blocks: int):
             if there:
                 cols = {k: v[order] for k, v in cols.items()}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(there, pa.int32())] + [pa.array([cols[k][cut[x] : cut[x + 1]].astype(t).tobytes() for x in there], pa.binary()) for k, t in _POST],
+                    [pa.array(there, pa.int32())] + [pa.array([T.planes(cols[k][cut[x] : cut[x + 1]].astype(t)) for x in there], pa.binary()) for k, t in _POST],
                     ["p", *(k for k, _ in _POST)],
                 )
 
@@ -216,9 +227,9 @@ def _candidates(threshold: float):
     """Pairs of sets that share a prefix word and whose sizes and positions leave room for the overlap they need."""
 
     def run(table: pa.Table) -> pa.Table:
-        c = {k: T.from_bytes(table.column(k), t) for k, t in _POST}
+        c = {k: T.from_planes(table.column(k), t) for k, t in _POST}
         order = np.lexsort((c["n"], c["tok"]))
-        tok, doc, line, n, pos = (c[k][order] for k, _ in _POST)
+        tok, doc, line, n, pos, sig = (c[k][order] for k, _ in _POST)
         run_id = np.cumsum(np.concatenate([[0], tok[1:] != tok[:-1]])).astype(np.int64)
         key = (run_id << 32) | n
         end = np.searchsorted(key, (run_id << 32) | np.floor(n / threshold + 1e-9).astype(np.int64), "right")
@@ -226,7 +237,6 @@ def _candidates(threshold: float):
         total = np.concatenate([[0], np.cumsum(later)])
         found, at = [], 0
         # lines of the block by number, so that a pair is one integer
-        _, code = np.unique(doc.astype(np.int64) * 1 + (line.astype(np.int64) << 44), return_inverse=True)
         ident, code = np.unique(np.stack([doc, line.astype(np.int64)], 1), axis=0, return_inverse=True)
         code = code.reshape(-1).astype(np.int64)
         while at < len(n):
@@ -237,7 +247,10 @@ def _candidates(threshold: float):
                 o = np.concatenate([[0], np.cumsum(k)])
                 j = i + 1 + (np.arange(o[-1]) - np.repeat(o[:-1], k))
                 least = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9)
-                ok = (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= least) & (code[i] != code[j])
+                ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (code[i] != code[j])
+                i, j, least = i[ok], j[ok], least[ok]
+                # words that one set has and the other lacks: at least the bits in which the signatures differ
+                ok = np.bitwise_count(sig[i] ^ sig[j]) <= n[i] + n[j] - 2 * least
                 x, y = code[i[ok]], code[j[ok]]
                 found.append(np.unique((np.minimum(x, y) << 32) | np.maximum(x, y)))
             at = stop
@@ -305,6 +318,22 @@ def _reread(bits: int, bitmap):
     return run
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(head_doc, head_line, e): of each later line the earliest line of its pairs that matches it, by the Jaccard index of the words themselves."""
+    sides = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line_no")).union(pairs.select("doc_b", "line_b"))
+    mask, count = 16, 2 * pairs.count()
+    while (1 << mask) < 32 * count and mask < 27:
+        mask += 1
+    known = docs.sparkSession.sparkContext.broadcast(_bitmap(sides, mask).tobytes())
+    sets = docs.mapInArrow(_reread(mask, known), "doc_id bigint, line_no int, words array<bigint>")
+    a = sets.select(F.col("doc_id").alias("doc_a"), F.col("line_no").alias("line_a"), F.col("words").alias("words_a"))
+    b = sets.select(F.col("doc_id").alias("doc_b"), F.col("line_no").alias("line_b"), F.col("words").alias("words_b"))
+    both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
+    o = F.size(F.array_intersect("words_a", "words_b"))
+    good = both.where(o >= F.lit(threshold) * (F.size("words_a") + F.size("words_b") - o) - 1e-9)
+    return good.groupBy(F.col("doc_b").alias("head_doc"), F.col("line_b").alias("head_line")).agg(F.min(F.struct("doc_a", "line_a")).alias("e"))
+
+
 def matching_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no): every line that an earlier line matches, and the earliest such line."""
     docs = T.documents(docs, "doc_id", "text")
@@ -317,25 +346,18 @@ def matching_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BU
     blobs = ", ".join(f"{k} binary" for k, _ in _FIELDS)
     lines = docs.mapInArrow(_lines(threshold, blocks, bits, levels), f"p int, {blobs}")
     lines = T.materialize(
-        lines.groupBy("p").applyInArrow(_fold, "doc_id bigint, line_no int, head_doc bigint, head_line int, n int, tok array<bigint>, pos array<int>")
+        lines.groupBy("p").applyInArrow(_fold, "doc_id bigint, line_no int, head_doc bigint, head_line int, n int, sig bigint, tok array<bigint>, pos array<int>")
     )
-    post = lines.where(F.size("tok") > 0).select("doc_id", "line_no", "n", "tok", "pos").mapInArrow(_postings(blocks), "p int, " + ", ".join(f"{k} binary" for k, _ in _POST))
+    post = lines.where(F.size("tok") > 0).select("doc_id", "line_no", "n", "sig", "tok", "pos").mapInArrow(_postings(blocks), "p int, " + ", ".join(f"{k} binary" for k, _ in _POST))
     cand = post.groupBy("p").applyInArrow(_candidates(threshold), "doc_a bigint, line_a int, doc_b bigint, line_b int")
-    cand = T.materialize(cand.distinct())
-    sides = cand.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line_no")).union(cand.select("doc_b", "line_b")).distinct()
-    sides = T.materialize(sides)
-    mask = 16
-    while (1 << mask) < 32 * sides.count() and mask < 27:
-        mask += 1
-    known = sc.broadcast(_bitmap(sides, mask).tobytes())
-    sets = docs.mapInArrow(_reread(mask, known), "doc_id bigint, line_no int, words array<bigint>")
-    sets = T.materialize(sets.join(sides, ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"]))
-    a = sets.toDF("doc_a", "line_a", "words_a")
-    b = sets.toDF("doc_b", "line_b", "words_b")
-    both = cand.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
-    o = F.size(F.array_intersect("words_a", "words_b"))
-    good = both.where(o >= F.lit(threshold) * (F.size("words_a") + F.size("words_b") - o) - 1e-9)
-    first = good.groupBy(F.col("doc_b").alias("head_doc"), F.col("line_b").alias("head_line")).agg(F.min(F.struct("doc_a", "line_a")).alias("e"))
+    # the earliest candidate of each line is nearly always a match; the others are looked at only where it is none
+    lists = T.materialize(cand.groupBy("doc_b", "line_b").agg(F.array_sort(F.collect_set(F.struct("doc_a", "line_a"))).alias("c")))
+    guess = lists.select(F.col("c")[0]["doc_a"].alias("doc_a"), F.col("c")[0]["line_a"].alias("line_a"), "doc_b", "line_b")
+    first = T.materialize(_verified(docs, guess, threshold))
+    rest = lists.where(F.size("c") > 1).join(first, (F.col("doc_b") == F.col("head_doc")) & (F.col("line_b") == F.col("head_line")), "left_anti")
+    rest = T.materialize(rest.select("doc_b", "line_b", F.explode(F.slice("c", 2, F.size("c"))).alias("x")).select("x.doc_a", "x.line_a", "doc_b", "line_b"))
+    if rest.limit(1).count():
+        first = first.unionByName(_verified(docs, rest, threshold))
     out = lines.select("doc_id", "line_no", "head_doc", "head_line").join(first, ["head_doc", "head_line"], "left")
     head = (F.col("doc_id") == F.col("head_doc")) & (F.col("line_no") == F.col("head_line"))
     out = out.where(~head | F.col("e").isNotNull())
