@@ -77,12 +77,16 @@ class CharMap:
         below = (t >> 10) << ((t & 0x200) >> 6)
         bases, prefixes, out = below[:1], [b""], []
         while len(bases):  # a level of the trie at a time
-            node = bases[:, None] ^ np.arange(256)
-            safe = np.minimum(node, len(t) - 1)
-            hit = (node < len(t)) & (t[safe] & 0x800000FF == np.arange(256))
-            hit[:, 0] = False
-            parent, c = np.nonzero(hit)
-            node = node[parent, c]
+            parent, c, node = [], [], []
+            for s in range(0, len(bases), 2000):
+                n = bases[s : s + 2000, None] ^ np.arange(256)
+                hit = (n < len(t)) & (t[np.minimum(n, len(t) - 1)] & 0x800000FF == np.arange(256))
+                hit[:, 0] = False
+                i, j = np.nonzero(hit)
+                parent.append(i + s)
+                c.append(j)
+                node.append(n[i, j])
+            parent, c, node = (np.concatenate(x) for x in (parent, c, node))
             child = node ^ below[node]
             prefixes = [prefixes[p] + bytes([x]) for p, x in zip(parent.tolist(), c.tolist())]
             for key, ends, at in zip(prefixes, (t[node] >> 8 & 1).tolist(), (t[np.minimum(child, len(t) - 1)] & 0x7FFFFFFF).tolist()):
