@@ -241,24 +241,24 @@ def _(spark, d):
     return traversal.distances(place_graph(spark, d), "nation:3", 3).select("node_id", "hops")
 
 
-PATHS = """WITH RECURSIVE """ + ENDS[5:] + ", w(tip, nodes, hops) AS (SELECT 'customer:1', ['customer:1'], 0 UNION ALL SELECT e.other, list_append(w.nodes, e.other), w.hops + 1 FROM w JOIN ends e ON e.node_id = w.tip WHERE w.hops < 4 AND NOT list_contains(w.nodes, e.other) AND w.tip <> 'supplier:1')"
+PATHS = """WITH RECURSIVE """ + ENDS[5:] + ", w(tip, nodes, hops) AS (SELECT 'nation:3', ['nation:3'], 0 UNION ALL SELECT e.other, list_append(w.nodes, e.other), w.hops + 1 FROM w JOIN ends e ON e.node_id = w.tip WHERE w.hops < 4 AND NOT list_contains(w.nodes, e.other) AND w.tip <> 'nation:8')"
 
 
-@register("find_paths", PATHS + " SELECT array_to_string(nodes, '>') AS path, hops FROM w WHERE tip = 'supplier:1'")
+@register("find_paths", PATHS + " SELECT array_to_string(nodes, '>') AS path, hops FROM w WHERE tip = 'nation:8'")
 def _(spark, d):
-    p = traversal.find_paths(place_graph(spark, d), "customer:1", "supplier:1", max_hops=4, max_paths=1000)
+    p = traversal.find_paths(place_graph(spark, d), "nation:3", "nation:8", max_hops=4, max_paths=1000)
     return p.select(F.array_join("nodes", ">").alias("path"), F.col("hops").cast("int").alias("hops"))
 
 
-@register("shortest_path", PATHS + " SELECT array_to_string(nodes, '>') AS path, hops FROM w WHERE tip = 'supplier:1' ORDER BY hops, path LIMIT 1")
+@register("shortest_path", PATHS + " SELECT array_to_string(nodes, '>') AS path, hops FROM w WHERE tip = 'nation:8' ORDER BY hops, path LIMIT 1")
 def _(spark, d):
-    p = traversal.shortest_path(place_graph(spark, d), "customer:1", "supplier:1", max_hops=4)
+    p = traversal.shortest_path(place_graph(spark, d), "nation:3", "nation:8", max_hops=4)
     return p.select(F.array_join("nodes", ">").alias("path"), F.col("hops").cast("int").alias("hops"))
 
 
 @register("explain")
 def _(spark, d):
-    return traversal.explain(place_graph(spark, d), "customer:1", "supplier:1", max_hops=4)
+    return traversal.explain(place_graph(spark, d), "nation:3", "nation:8", max_hops=4)
 
 
 # ---- time -------------------------------------------------------------------
