@@ -269,26 +269,22 @@ def _bitmap(lines: DataFrame, bits: int) -> np.ndarray:
     """Bits of the hashes of (doc_id, 0) for documents and (doc_id, line + 1) for lines."""
 
     def run(batches):
-        out = np.zeros(1 << bits, bool)
         for b in batches:
             doc, line = b.column("doc_id").to_numpy(), b.column("line_no").to_numpy().astype(np.int64)
-            for k in (_key(doc, np.zeros(len(doc), np.int64)), _key(doc, line + 1)):
-                out[(k >> np.uint64(64 - bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["blob"])
+            k = np.concatenate([_key(doc, np.zeros(len(doc), np.int64)), _key(doc, line + 1)])
+            at = np.unique(k >> np.uint64(64 - bits)).astype(np.uint32)
+            part = at >> 16
+            for p in np.unique(part):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([T.planes((at[part == p] & 0xFFFF).astype(np.uint16))], pa.binary())], ["p", "at"])
 
-    def either(batches):
-        out = None
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                v = np.frombuffer(x, np.uint8)
-                out = v.copy() if out is None else out | v
-        if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["blob"])
+    def fill(table: pa.Table) -> pa.Table:
+        out = np.zeros(1 << 16, bool)
+        out[T.from_planes(table.column("at"), np.uint16)] = True
+        return pa.table([pa.array([table.column("p")[0].as_py()], pa.int32()), pa.array([np.packbits(out).tobytes()], pa.binary())], names=["p", "bits"])
 
-    parts = lines.mapInArrow(run, "blob binary").repartition(8).mapInArrow(either, "blob binary").collect()
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in parts:
-        out |= np.frombuffer(r[0], np.uint8)
+    for r in lines.mapInArrow(run, "p int, at binary").groupBy("p").applyInArrow(fill, "p int, bits binary").toLocalIterator():
+        out[r["p"] << 13 : (r["p"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
