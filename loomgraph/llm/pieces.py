@@ -253,7 +253,7 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, charmap: str | None = CHA
         e = encoder(*shared.value)
         for batch in batches:
             null, at = np.asarray(batch.column("text").is_null()), 0
-            for piece in T.slices(batch):
+            for piece in T.slices(batch, limit=2 << 20):  # Python objects of the distinct units of a slice are many times its size
                 ids, begin, end, off, same = e.encode(piece.column("text"))
                 gone = null[at : at + len(piece)]
                 at += len(piece)
