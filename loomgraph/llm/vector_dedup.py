@@ -9,10 +9,12 @@
 4. In each shard every member is a query: greedy search with a beam from the
    medoids, then, from all that is in range and from the query itself, along
    the edges as long as they stay in range.
-5. Pairs found are verified with double precision.  The result is audited: for a
-   bounded sample of vectors all partners are computed by brute force.  If the
-   recall is below the target, shards overlap more and beams widen, again until
-   it is reached (with every vector in every shard at the latest).
+5. Pairs found are verified with double precision.  The result is audited: all
+   partners of a sample of vectors are computed by brute force.  The sample grows
+   with the table, and further until it holds enough vectors with partners (or
+   the whole table).  Recall is taken per vector and per group of near copies; if
+   either is below the target, shards overlap more and beams widen, again until it
+   is reached.  Where that would cost more than comparing all with all, that is done.
 
 Defined results
 * null vec_id, null or empty vector, a null, infinite or NaN component, or length 0: left out.
@@ -24,6 +26,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,9 +40,11 @@ THRESHOLD = 0.95
 SHARD = 1500
 DEGREE, NEAR, FAR, ALPHA = 24, 48, 12, 1.2
 BEAM, OVERLAP = 32, 2
-RECALL, AUDITED = 0.95, 256
+RECALL, AUDITED, PARTNERED = 0.95, 256, 200
 SAMPLE_PER_SHARD = 12
 _BLOCK = 256
+_AUDIT_ROWS, _AUDIT_BYTES = 8192, 16 << 20  # of the sample, for one pass over the table
+_PLACES = 1 << 40
 
 
 def _unit(batches):
@@ -273,7 +279,7 @@ def _search(threshold: float, beam: int):
 
 
 def _truth(sample, threshold: float):
-    """All partners of the audited vectors."""
+    """(vec_id, partner, cosine): all partners of the audited vectors."""
 
     def run(batches):
         for batch in batches:
@@ -285,11 +291,14 @@ def _truth(sample, threshold: float):
                 ids, x = sample.value[dim]
                 own = part.column("vec_id").to_numpy()
                 y = _matrix(part.column("vec"), dim)
-                for s in range(0, len(y), 4096):
-                    i, j = np.nonzero(y[s : s + 4096].astype(np.float64) @ x.astype(np.float64).T >= threshold)
-                    p, q = own[s : s + 4096][i], ids[j]
+                x = x.astype(np.float64)
+                step = max(16, min(4096, 4_000_000 // len(x)))
+                for s in range(0, len(y), step):
+                    sim = y[s : s + step].astype(np.float64) @ x.T
+                    i, j = np.nonzero(sim >= threshold)
+                    p, q = own[s : s + step][i], ids[j]
                     keep = p != q
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[keep]), pa.array(np.maximum(p, q)[keep])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(p[keep]), pa.array(sim[i, j][keep])], ["vec_id", "partner", "cosine"])
 
     return run
 
@@ -301,6 +310,62 @@ def _by_dim(rows) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {d: (np.array([i for i, _ in v], np.int64), np.stack([x for _, x in v])) for d, v in out.items()}
 
 
+class _Audit:
+    """Brute force over a growing part of the vectors, in order of a hash."""
+
+    def __init__(self, reps: DataFrame, n: int, dim: int, threshold: float):
+        self.reps, self.n, self.threshold = reps.withColumn("place", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(_PLACES))), n, threshold
+        self.rows = max(1, min(_AUDIT_ROWS, _AUDIT_BYTES // (4 * dim)))
+        self.until, self.truth = 0, reps.sparkSession.createDataFrame([], "vec_id bigint, partner bigint, cosine double")
+
+    @property
+    def whole(self) -> bool:
+        return self.until >= _PLACES
+
+    def extend(self, size: int) -> None:
+        """About `size` vectors more."""
+        end = min(_PLACES, self.until + max(1, size * _PLACES // self.n))
+        step = max(1, self.rows * _PLACES // self.n)
+        parts = [self.truth]
+        while self.until < end:
+            to = min(end, self.until + step)
+            some = self.reps.where((F.col("place") >= self.until) & (F.col("place") < to)).select("vec_id", "dim", "vec").collect()
+            if some:
+                shared = self.reps.sparkSession.sparkContext.broadcast(_by_dim(some))
+                part = self.reps.select("vec_id", "dim", "vec").mapInArrow(_truth(shared, self.threshold), "vec_id bigint, partner bigint, cosine double")
+                parts.append(T.materialize(part))
+                shared.destroy()
+            self.until = to
+            if len(parts) > 16:
+                parts = [T.materialize(_union(parts))]
+        self.truth = T.materialize(_union(parts))
+
+    def partnered(self) -> float:
+        """Effective number of vectors with partners, where each group of near copies has one vote (Kish)."""
+        w = self.truth.groupBy("vec_id").agg((1 / (1 + F.count("*"))).alias("w"))
+        r = w.agg((F.sum("w") ** 2 / F.sum(F.col("w") ** 2)).alias("n")).first()
+        return r["n"] or 0.0
+
+    def recall(self, pairs: DataFrame) -> float:
+        """Share of the partners found: the lesser of its mean over vectors and over groups."""
+        t = self.truth.select("vec_id", F.least("vec_id", "partner").alias("a"), F.greatest("vec_id", "partner").alias("b"))
+        t = t.join(pairs.select("a", "b", F.lit(1).alias("found")), ["a", "b"], "left")
+        v = t.groupBy("vec_id").agg((F.count("found") / F.count("*")).alias("r"), (1 / (1 + F.count("*"))).alias("w"))
+        r = v.agg(F.avg("r").alias("x"), (F.sum(F.col("r") * F.col("w")) / F.sum("w")).alias("y")).first()
+        return 1.0 if r["x"] is None else min(r["x"], r["y"])
+
+    def pairs(self) -> DataFrame:
+        t = self.truth.select(F.least("vec_id", "partner").alias("a"), F.greatest("vec_id", "partner").alias("b"), "cosine")
+        return t.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shard: int = SHARD) -> DataFrame:
     """(vec_a, vec_b, cosine): pairs of vectors with a cosine of at least the threshold; see the module for edge cases."""
     spark = vectors.sparkSession
@@ -323,9 +388,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         k = min(k, len(got))
         model[dim] = (base, centroids(got, k))
         base += k
-    audit = _by_dim(reps.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(AUDITED).collect())
-    truth = T.materialize(reps.mapInArrow(_truth(sc.broadcast(audit), threshold), "a bigint, b bigint").distinct())
-    all_true = truth.count()
+    audit = _Audit(reps, n, max(counts), threshold)
+    audit.extend(max(AUDITED, math.isqrt(n)))
+    while not audit.whole and audit.partnered() < PARTNERED:
+        audit.extend(n * audit.until // _PLACES)
     shared = sc.broadcast(model)
     overlap, beam, most = OVERLAP, BEAM, max(len(c) for _, c in model.values())
     while True:
@@ -334,10 +400,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         near = edges.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         found = parts.join(near, "vec_id").groupBy("shard").applyInArrow(_search(threshold, beam), "a bigint, b bigint, cosine double")
         pairs = T.materialize(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-        missed = truth.join(pairs, ["a", "b"], "left_anti").count() if all_true else 0
-        if missed <= (1 - recall) * all_true or overlap >= most:
+        if audit.recall(pairs) >= recall:
+            break
+        overlap, beam = overlap * 2, beam * 2
+        if overlap * overlap > most:  # dearer than all with all
+            audit.extend(n)
+            pairs = T.materialize(audit.pairs())
             break
-        overlap, beam = min(most, overlap * 2), beam * 2
     equal = reps.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("cosine"))
     x, y = members.select(F.col("rep").alias("a"), F.col("vec_id").alias("i")), members.select(F.col("rep").alias("b"), F.col("vec_id").alias("j"))
     big = members.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("a"))

@@ -24,6 +24,28 @@ def test_near_vectors_as_brute_force(spark):
     assert got - border <= want and len(got & want) >= 0.95 * len(want)
 
 
+def test_recall_counts_groups(spark):
+    """A group of 60 is found, 20 pairs are lost."""
+    audit = object.__new__(vector_dedup._Audit)
+    both = [(a, b, 1.0) for a in range(60) for b in range(60) if a != b] + [(a, a ^ 1, 1.0) for a in range(100, 140)]
+    audit.truth = spark.createDataFrame(both, "vec_id bigint, partner bigint, cosine double")
+    assert audit.recall(audit.pairs().where("a < 60")) < 0.1
+    assert 38 < audit.partnered() < 45
+
+
+def test_audit_goes_on_until_it_holds_partners(spark):
+    g = np.random.default_rng(7)
+    x = g.normal(size=(900, 64))
+    x[899] = x[0] + 0.01 * g.normal(size=64)
+    reps = spark.createDataFrame([(k, 64, bytearray((v / np.linalg.norm(v)).astype(np.float32).tobytes())) for k, v in enumerate(x)], "vec_id bigint, dim int, vec binary")
+    audit = vector_dedup._Audit(reps, 900, 64, 0.95)
+    audit.extend(100)
+    assert not audit.whole
+    audit.extend(900)
+    assert audit.whole and {tuple(r)[:2] for r in audit.truth.collect()} == {(0, 899), (899, 0)}
+    assert audit.recall(audit.pairs()) == 1 and audit.recall(audit.pairs().limit(0)) == 0
+
+
 def test_no_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0], 0, 0, "")], SCHEMA)
