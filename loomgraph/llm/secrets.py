@@ -6,7 +6,10 @@ labelled samples.  The random ones come from a seeded generator of the usual
 shapes of keys; the ordinary ones join words of a bounded sample of the corpus
 the way identifiers, paths, numbers and dates are written.  Every run of at
 least MIN_LENGTH token characters is scored; it is a finding when the ratio
-exceeds the prior odds.
+exceeds the prior odds.  In a run that is none, the stretches of greatest sum are
+findings when they exceed the prior odds for each of the places where they could
+begin; they are widened to the letters and digits they are part of, and must exceed
+them again as strings of their own.
 
 Defined results
 * null doc_id: the row is left out.  Null or empty text: no findings.
@@ -100,15 +103,77 @@ def tokens(raw: np.ndarray, off: np.ndarray, least: int = MIN_LENGTH) -> tuple[n
     return start[keep], end[keep]
 
 
-def score(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each run."""
+def ratios(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio of each character of the runs, and where each run begins among them."""
     n = end - start
     o = np.concatenate([[0], np.cumsum(n)])
     at = np.repeat(start - o[:-1], n) + np.arange(o[-1])
     c, pos = _CODE[raw[at]], T.within(o)
     b = np.where(pos > 0, np.concatenate([[0], c[:-1]]), 0)
     a = np.where(pos > 1, np.concatenate([[0, 0], c[:-2]])[: len(c)], 0)
-    return T.seg_sum(table[a, b, c].astype(np.float64), o) if len(n) else np.zeros(0)
+    return table[a, b, c].astype(np.float64), o
+
+
+def score(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each run."""
+    each, o = ratios(raw, start, end, table)
+    return T.seg_sum(each, o) if len(each) else np.zeros(0)
+
+
+def stretches(each: np.ndarray, limit: float) -> list[tuple[int, int, float]]:
+    """(start, end, sum) of the stretch of greatest sum, and so on in what is left and right of it, as long as the sum exceeds the limit."""
+    out, todo = [], [(0, len(each))]
+    while todo:
+        s, e = todo.pop()
+        if np.maximum(each[s:e], 0).sum() <= limit:
+            continue
+        total = np.concatenate([[0], np.cumsum(each[s:e])])
+        gain = total - np.minimum.accumulate(total)
+        j = int(gain.argmax())
+        if gain[j] > limit:
+            i = int(total[: j + 1].argmin())
+            out.append((s + i, s + j, float(gain[j])))
+            todo += [(s, s + i), (s + j, e)]
+    return out
+
+
+def findings(raw: np.ndarray, off: np.ndarray, table: np.ndarray, least: int = MIN_LENGTH, log_odds: float = LOG_ODDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, score), in bytes of the column: the runs that look like a secret, and the stretches of the others that do."""
+    start, end = tokens(raw, off, least)
+    each, o = ratios(raw, start, end, table)
+    llr = T.seg_sum(each, o)
+    hit = llr > log_odds
+    out = list(zip(start[hit].tolist(), end[hit].tolist(), llr[hit].tolist()))
+    limit = log_odds + np.log(np.maximum(end - start, 1))
+    for k in np.flatnonzero(~hit & (T.seg_sum(np.maximum(each, 0), o) > limit)).tolist():
+        n, s = end[k] - start[k], start[k]
+        code = _CODE[raw[s : end[k]]]
+        sep = np.flatnonzero(code > 62)  # _-+/=
+        found: list[tuple[int, int, float]] = []
+        for i, j, v in sorted(stretches(each[o[k] : o[k + 1]], limit[k])):
+            while i < j and code[i] == _K - 1:  # = before a value
+                i += 1
+            core = (i, j)
+            if i < j and code[i] <= 62:
+                p = np.searchsorted(sep, i)
+                i = int(sep[p - 1]) + 1 if p else 0
+            p = np.searchsorted(sep, j)
+            if j and code[j - 1] <= 62:
+                j = int(sep[p]) if p < len(sep) else int(n)
+            while j < n and code[j] == _K - 1 and (j + 1 == n or code[j + 1] == _K - 1):  # padding
+                j += 1
+            # scored again as strings of their own; what was cut off as ordinary must be more than the odd beginning of a word
+            by_itself = score(raw, s + np.array([i, core[0]]), s + np.array([j, core[1]]), table) if core[0] < core[1] else np.zeros(2)
+            if by_itself[0] <= limit[k] and (by_itself[1] <= limit[k] or j - i - (core[1] - core[0]) < 4):
+                continue
+            if found and i < found[-1][1]:
+                a, b, w = found.pop()
+                i, j, v = min(i, a), max(j, b), max(v, w)
+            found.append((i, j, v))
+        out += [(int(s) + i, int(s) + j, v) for i, j, v in found if j - i >= least]
+    out.sort()
+    a, b, v = zip(*out) if out else ((), (), ())
+    return np.array(a, np.int64), np.array(b, np.int64), np.array(v, np.float64)
 
 
 def training_words(docs: DataFrame, rows: int = TRAINING_ROWS, most: int = TRAINING_WORDS) -> list[str]:
@@ -125,7 +190,7 @@ def training_words(docs: DataFrame, rows: int = TRAINING_ROWS, most: int = TRAIN
 
 
 def secrets(docs: DataFrame, least: int = MIN_LENGTH, log_odds: float = LOG_ODDS, training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """(doc_id, start, length, score): every run that looks like a secret, in bytes of the UTF-8 text; see the module for edge cases."""
+    """(doc_id, start, length, score): every run, or stretch of a run, that looks like a secret, in bytes of the UTF-8 text; see the module for edge cases."""
     docs = T.documents(docs, "doc_id", "text")
     table = docs.sparkSession.sparkContext.broadcast(train(training_words(docs, training_rows)))
 
@@ -133,10 +198,7 @@ def secrets(docs: DataFrame, least: int = MIN_LENGTH, log_odds: float = LOG_ODDS
         for batch in batches:
             for piece in T.slices(batch):
                 raw, off = T.utf8_parts(piece.column("text"))
-                start, end = tokens(raw, off, least)
-                llr = score(raw, start, end, table.value)
-                hit = llr > log_odds
-                start, end, llr = start[hit], end[hit], llr[hit]
+                start, end, llr = findings(raw, off, table.value, least, log_odds)
                 row = np.searchsorted(off, start, "right") - 1
                 ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(

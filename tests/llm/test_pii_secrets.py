@@ -67,3 +67,28 @@ def test_runs_do_not_pass_rows():
 
     s, e = secrets.tokens(np.frombuffer(b"a" * 20 + b"b" * 10 + b" " + b"c" * 16, np.uint8), np.array([0, 20, 30, 47]))
     assert list(zip(s, e)) == [(0, 20), (31, 47)]
+
+
+def test_keys_glued_to_ordinary_text():
+    import numpy as np
+
+    words = [w for w in prose(3, 4000).split() if w.isalpha()] + ["name", "value", "index", "client", "secret", "token", "long", "variable", "home", "user", "file"]
+    table = secrets.train(words)
+    g = random.Random(4)
+    key = lambda n, letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(g.choice(letters) for _ in range(n))
+    ordinary = ["/".join(g.choice(words) for _ in range(60)), "_".join(g.choice(words) for _ in range(60)), "_".join(g.choice(words) for _ in range(60)).upper()]
+    missed = 0
+    for name in ordinary:
+        for sep in "=/":
+            for k in (key(32), key(40), key(40, "0123456789abcdef")):
+                raw = np.frombuffer(f"{name}{sep}{k}".encode(), np.uint8)
+                off, at = np.array([0, len(raw)]), len(name) + 1
+                assert secrets.score(raw, off[:1], off[1:], table)[0] < secrets.LOG_ODDS  # the whole run hides it
+                missed += not any(s <= at and e == len(raw) and s > at - 20 for s, e, _ in zip(*secrets.findings(raw, off, table)))
+    assert missed <= 1
+    two = f"{ordinary[0]}={key(40)}/{ordinary[0]}={key(40)}"
+    raw = np.frombuffer(two.encode(), np.uint8)
+    assert len(secrets.findings(raw, np.array([0, len(raw)]), table)[0]) == 2
+    plain = secrets.ordinary_strings(words, 2000, 99)
+    raw = np.frombuffer(" ".join(plain).encode(), np.uint8)
+    assert len(secrets.findings(raw, np.array([0, len(raw)]), table)[0]) < 10
