@@ -10,7 +10,11 @@ part of its value, so that two ways of writing it stay linked.
 Defined results
 * null doc_id: kept and treated like any other row.  Null text: stays null, nothing replaced.  Empty text: stays empty.
 * very long texts: whole.  A text without a digit or @ is not touched by Python's re.
-* a number that fails its check is left alone.
+* a number that fails its check may have swallowed what stands beside it: shorter ends at the borders of its digit groups
+  are tried, then the search goes on from its next group.  A card may then be one group, or groups of four digits and
+  more of which the last may be shorter; such a card,
+  and an IBAN in one group, goes before a match of another shape around it.
+* a number for which that finds nothing is left alone.
 * rows that repeat: each is treated alike, so they stay equal.
 * empty table: no rows.  Other columns are not read, whatever their names.
 """
@@ -174,19 +178,54 @@ def _email(s: str, key: bytes) -> str:
 _CHANGE = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+_GROUP = re.compile(r"\w+|.")
+_CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?!\w)")
+
+
+def _passing(kind: str, s: str, start: int, text: str, inner: bool = False) -> int:
+    """Where in the text the part of s that passes its check ends, or 0; it begins where s does, at `start`."""
+    groups = [(g.start(), g.end()) for g in re.finditer(r"\w+", s)]
+    flat = lambda e: re.sub(r"\W", "", s[:e])
+    if kind == "iban":
+        until = min([a for a, b in groups[1:] if 15 <= b - a <= 34 and re.match("[A-Z]{2}[0-9]{2}", s[a:b]) and _mod97(s[a:b]) == 1], default=len(s))
+        good = [e for _, e in groups if e <= until and s[:e].isascii() and (15 <= len(flat(e)) <= 34 or e == len(s)) and _mod97(flat(e)) == 1]
+        return start + (good[0] if good and good[0] == groups[0][1] else good[-1]) if good else 0
+    alone = [x for x in groups if 13 <= x[1] - x[0] <= 19 and s[x[0] : x[1]].isascii() and luhn(s[x[0] : x[1]])]
+    if alone:
+        return start + alone[0][1] if alone[0][0] == 0 else 0
+    for k in range(len(groups), 0, -1):
+        e = groups[k - 1][1]
+        shaped = all(b - a >= 4 for a, b in groups[: k - 1])
+        if (shaped or k == len(groups) and not inner) and s[:e].isascii() and 13 <= len(flat(e)) <= 19 and luhn(flat(e)):
+            if not shaped and any((m := _CARD.match(text, start + a)) and _passing("card", m.group(), start + a, text, True) for a, _ in groups[1:]):
+                return 0  # a number of the usual shape begins inside
+            return start + e
+    return 0
+
+
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     """The text with its personal data replaced, and how many of each kind."""
     count: dict[str, int] = {}
 
-    def one(m: re.Match) -> str:
-        kind, old = m.lastgroup, m.group()
-        if not old.isascii() and kind != "email":  # \d also knows the digits of other scripts
-            return old
-        new = _CHANGE[kind](old, key)
-        count[kind] = count.get(kind, 0) + (new != old)
-        return new
-
-    return _FIND.sub(one, text), count
+    out, last, pos = [], 0, 0
+    while m := _FIND.search(text, pos):
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        if kind in ("card", "iban"):
+            end = _passing(kind, m.group(), start, text)
+        new = None
+        if end and (kind == "email" or m.group().isascii() or kind in ("card", "iban")):  # \d also knows the digits of other scripts
+            new = _CHANGE[kind](text[start:end], key)
+            count[kind] = count.get(kind, 0) + (new != text[start:end])
+        if new is None or new == text[start:end] and kind in ("date", "ip", "ssn"):
+            if kind in ("date", "ip", "ssn") and (c := _CARD.match(text, start)) and (end := _passing("card", c.group(), start, text)):
+                new, kind = _card(text[start:end], key), "card"
+                count[kind] = count.get(kind, 0) + (new != text[start:end])
+            else:
+                pos = start + len(_GROUP.match(text, start).group())
+                continue
+        out += [text[last:start], new]
+        last = pos = end
+    return "".join(out) + text[last:], count
 
 
 def _apply(key: bytes):

@@ -27,6 +27,20 @@ def test_equal_values_stay_linked_and_invalid_ones_stay():
     assert pii.pseudonymise("10.0.0.1")[0] != "10.0.0.1" and pii.pseudonymise("31.12.1999")[0] != "31.12.1999"
 
 
+def test_numbers_side_by_side():
+    card, iban, phone = "4111111111111111", "BE68539007547034", "555-123-4567"
+    new_card, new_iban = pii._card(card, pii.KEY), pii._iban(iban, pii.KEY)
+    apart = " ".join(new_card[k : k + 4] for k in range(0, 16, 4))
+    for text, want in (
+        (f"12 {card}", f"12 {new_card}"), (f"7-{card} 250", f"7-{new_card} 250"), (f"{card} 12", f"{new_card} 12"), (f"{card} {card}", f"{new_card} {new_card}"),
+        ("12 34 4111 1111 1111 1111 251", f"12 34 {apart} 251"), (f"{iban} 250", f"{new_iban} 250"), (f"{iban} BIC", f"{new_iban} BIC"), (f"{iban} BANKER", f"{new_iban} BANKER"),
+        (f"AB12 {iban}", f"AB12 {new_iban}"), (f"XX12 {card}", f"XX12 {new_card}"), (f"\u0661\u0662 {card}", f"\u0661\u0662 {new_card}"),
+        (f"123 {phone}", f"123 {pii._phone(phone, pii.KEY)}"), ("12 34 56 78 90 12 34 50", "12 34 56 78 90 12 34 50"), (f"x{card} y", f"x{card} y"),
+    ):
+        assert pii.pseudonymise(text)[0] == want, text
+    assert pii.pseudonymise(f"{card} 12 {card}")[1] == {"card": 2}
+
+
 def test_table(spark):
     docs = frame(spark, (1, "ip 10.1.2.3"), (1, "ip 10.1.2.3"), (2, "again 10.1.2.3 ok"), *ODD)
     got = [(r["doc_id"], r["text"], r["n_ip"]) for r in pii.pseudonyms(docs).collect()]
