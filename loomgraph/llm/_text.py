@@ -272,6 +272,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, of rows that have a doc_id; other columns never reach Python."""
     return docs.where(F.col("doc_id").isNotNull()).select(*[F.col(c) for c in columns])

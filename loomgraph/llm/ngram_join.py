@@ -1,24 +1,33 @@
-"""N-gram Jaccard join: all pairs of documents whose word n-gram sets are alike.
+"""N-gram Jaccard join: all documents whose word n-gram sets are alike, as classes and links.
 
 The document by n-gram incidence matrix is cut into row blocks (a few megabytes
 of text) and column blocks (ranges of the n-gram hash).  One shuffle brings a
 column block together: it finds how many documents hold each n-gram and drops
-the columns that a single document holds, for they overlap with nothing.  A
-second shuffle returns the rest to its row block, where a document is discarded
-when its shared n-grams are fewer than any partner would need: a pair with
-Jaccard >= t overlaps in at least t * size n-grams.  Documents of equal size and
-equal shared n-grams fold into one row.  Of a row of size n only the n - ceil(t n) + 1 rarest columns
-can be the first that a pair shares, so these link rows into tiles, and the
-sparse product of each tile with its own transpose, taken block by block,
-accumulates the exact overlap counts.  Nothing is capped: a tile larger than a
-block becomes several block pairs.
+the columns that a single document holds, for they overlap with nothing.  The
+most frequent n-grams are known before, by mergeable counters of fixed size over
+all documents; they go straight to their row blocks, so that no column block
+holds a hot column.  A second shuffle returns the rest to its row block, where a
+document is discarded when its shared n-grams are fewer than any partner would
+need: a pair with Jaccard >= t overlaps in at least t * size n-grams.  Documents
+of equal size and equal shared n-grams fold into one row.  Of a row of size n
+only the n - ceil(t n) + 1 rarest columns can be the first that a pair shares, so
+these link rows into tiles, and the sparse product of each tile with its own
+transpose, taken block by block, accumulates the exact overlap counts.  A block
+pair gives the number of links of each of its rows and what it is connected to,
+never the pairs themselves.  Nothing is capped: a tile larger than a block
+becomes several block pairs.
+
+A link is a pair of documents with Jaccard >= t; a class is a connected
+component of the links, named by its least doc_id.
 
 Defined results
-* null doc_id: the row is left out.  Null or empty text, or white space only: no n-grams, never paired.
+* null doc_id: the row is left out.  Null or empty text, or white space only: no n-grams, never linked.
 * fewer than n words: the whole text is the only n-gram.
 * very long texts: whole; work grows with their length.
-* rows that repeat a doc_id: each row is a document; a pair is given once, and never a doc_id with itself.
-* ties: pairs have doc_a < doc_b; no order is implied.
+* rows that repeat a doc_id and its text are one document; rows that repeat a doc_id with another text are documents of
+  their own, each with its row of the result.
+* ties: no order is implied.
+* documents without a link: no row; such a class is the document alone.
 * empty table: no rows.  Other columns are ignored, whatever their names.
 """
 
@@ -34,6 +43,7 @@ from . import _text as T
 
 N, THRESHOLD = 3, 0.7
 BLOCK = 1024
+FREQUENT, HOT = 1 << 16, 20_000  # counters of n-grams, and occurrences from which a column is hot
 _MASK = np.uint64(0x7FFFFFFFFFFFFFFF)
 _KEPT = 6  # bytes of the hash that travel, besides the number of the column block
 
@@ -68,31 +78,95 @@ def ngram_hashes(w: T.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return g & _MASK, r
 
 
-def _incidence(n: int, blocks: int):
-    """Rows (p, r, grams, rows, ids): the part of row block r in column block p; the doc_ids go with one column block."""
+def _merge(g: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum counters by key and keep at most `most`, less the count of the first that is left out: what is frequent stays, and no count is too high."""
+    order = np.argsort(g, kind="stable")
+    g, n = g[order], n[order]
+    off = T.runs(g)
+    g, n = g[off[:-1]], T.seg_sum(n, off)
+    if len(g) > most:
+        n = n - np.partition(n, len(n) - most - 1)[len(n) - most - 1]
+        g, n = g[n > 0], n[n > 0]
+    return g, n
+
+
+def frequent(docs: DataFrame, n: int, most: int = FREQUENT, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram hashes in order, their counts): those that occur `hot` times, and 1 / `most` of all occurrences, more often; at most `most` of them."""
+    schema = "g binary, n binary"
+
+    def give(g, c):
+        return pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["g", "n"])
+
+    def count(batches):
+        g, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for piece in T.slices(batch):
+                new, times = np.unique(ngram_hashes(T.Words(piece.column("text")), n)[0], return_counts=True)
+                g, c = _merge(np.concatenate([g, new]), np.concatenate([c, times]), most)
+        yield give(g, c)
+
+    def total(batches):
+        g, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            g, c = np.concatenate([g, T.from_bytes(batch.column("g"), np.uint64)]), np.concatenate([c, T.from_bytes(batch.column("n"), np.int64)])
+            g, c = _merge(g, c, most)
+        yield give(g, c)
+
+    parts = docs.select("text").mapInArrow(count, schema)
+    for tasks in (512, 12, 1):
+        if tasks < 512 or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 512:
+            parts = parts.repartition(tasks).mapInArrow(total, schema)
+    (row,) = parts.collect()
+    g, c = np.frombuffer(row["g"], np.uint64), np.frombuffer(row["n"], np.int64)
+    return g[c >= hot], c[c >= hot]
+
+
+def _identity(g: np.ndarray, blocks: int) -> np.ndarray:
+    """What stands for an n-gram in its row block: the kept bytes of its hash and its column block."""
+    kept = T.read_low_bytes(T.low_bytes(g // np.uint64(blocks), _KEPT), _KEPT)
+    return T.mix(kept + g % np.uint64(blocks) * np.uint64(0xD6E8FEB86659FD93)) & _MASK
+
+
+def _level(df: np.ndarray) -> np.ndarray:
+    """Frequency as a byte; 0: a lone document."""
+    return np.minimum(255, np.ceil(8 * np.log2(df))).astype(np.uint8)
+
+
+_INCIDENCE = "p bigint, r bigint, grams binary, df binary, rows binary, ids binary"
+
+
+def _incidence(n: int, blocks: int, hot):
+    """Rows (p, r, grams, df, rows, ids): the part of row block r in column block p; hot columns go in a part of their own (p < 0), doc_ids and text hashes with one column block."""
 
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
+        hot_g, hot_n = hot.value
         for batch in batches:
             for piece in T.slices(batch):
-                ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = np.concatenate([piece.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "txt")])
                 g, rows = ngram_hashes(T.Words(piece.column("text")), n)
+                r = (part << 24) | k
+                k += 1
+                out = []
+                if len(hot_g) and len(g):
+                    at = np.minimum(np.searchsorted(hot_g, g), len(hot_g) - 1)
+                    is_hot = hot_g[at] == g
+                    if is_hot.any():
+                        both = np.unique(at[is_hot] * np.int64(1 << 16) + rows[is_hot])
+                        which, hr = both >> 16, (both & 0xFFFF).astype(np.uint16)
+                        out.append((-1 - r, _identity(hot_g[which], blocks).tobytes(), _level(hot_n[which]).tobytes(), hr.tobytes(), None))
+                        g, rows = g[~is_hot], rows[~is_hot]
                 block = (g % np.uint64(blocks)).astype(np.uint16 if blocks <= 65536 else np.uint32)
                 order = np.argsort(block, kind="stable")
                 cut = np.searchsorted(block[order], np.arange(blocks + 1))
                 g, rows = g[order] // np.uint64(blocks), rows[order].astype(np.uint16)
-                r = (part << 24) | k
-                k += 1
-                there = [b for b in range(blocks) if cut[b + 1] > cut[b] or b == r % blocks]
+                for b in np.union1d(np.flatnonzero(cut[1:] > cut[:-1]), [r % blocks]).tolist():
+                    s = slice(cut[b], cut[b + 1])
+                    out.append((b, T.low_bytes(g[s], _KEPT), None, rows[s].tobytes(), ids.tobytes() if b == r % blocks else None))
+                p, grams, df, at, own = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(there, pa.int32()),
-                        pa.array([r] * len(there), pa.int64()),
-                        pa.array([T.low_bytes(g[cut[b] : cut[b + 1]], _KEPT) for b in there], pa.binary()),
-                        pa.array([rows[cut[b] : cut[b + 1]].tobytes() for b in there], pa.binary()),
-                        pa.array([ids.tobytes() if b == r % blocks else None for b in there], pa.binary()),
-                    ],
-                    ["p", "r", "grams", "rows", "ids"],
+                    [pa.array(p, pa.int64()), pa.array([r] * len(p), pa.int64()), *(pa.array(x, pa.binary()) for x in (grams, df, at, own))],
+                    ["p", "r", "grams", "df", "rows", "ids"],
                 )
 
     return run
@@ -101,6 +175,11 @@ def _incidence(n: int, blocks: int):
 def _columns(table: pa.Table) -> pa.Table:
     """One column block: distinct (n-gram, document), frequencies, and back to row blocks without the lone columns."""
     rs, p = table.column("r").to_numpy(), table.column("p")[0].as_py()
+    names = ("grams", "df", "rows", "sizes", "ids")
+    schema = pa.schema([("r", pa.int64()), ("p", pa.int64()), *((k, pa.binary()) for k in names)])
+    if p < 0:  # hot columns of one row block, distinct already
+        size = T.small_ints(np.bincount(T.from_bytes(table.column("rows"), np.uint16)))
+        return pa.table([table.column("r"), table.column("p"), *(table.column(k) for k in names[:3]), pa.array([size], pa.binary()), table.column("ids")], schema=schema)
     g = T.read_low_bytes(b"".join(table.column("grams").to_pylist()), _KEPT)
     n = np.array([len(x) // _KEPT for x in table.column("grams").to_pylist()], np.int64)
     src = np.repeat(np.arange(len(rs)), n)
@@ -113,11 +192,11 @@ def _columns(table: pa.Table) -> pa.Table:
     g, doc = g[first], doc[first]
     off = T.runs(g)
     df = np.diff(off)
-    df_of = np.repeat(np.minimum(255, np.ceil(8 * np.log2(df))).astype(np.uint8), df)  # 0: a lone document
+    df_of = np.repeat(_level(df), df)
     order = np.argsort(doc, kind="stable")
     g, doc, df_of = g[order], doc[order], df_of[order]
     cut = np.searchsorted(doc >> 32, np.arange(len(rs) + 1))
-    out = {k: [] for k in ("r", "p", "grams", "df", "rows", "sizes", "ids")}
+    out = {k: [] for k in ("r", "p", *names)}
     for i in range(len(rs)):
         s = slice(cut[i], cut[i + 1])
         rows, keep = doc[s] & 0xFFFFFFFF, df_of[s] > 0
@@ -128,20 +207,23 @@ def _columns(table: pa.Table) -> pa.Table:
         out["rows"].append(rows[keep].astype(np.uint16).tobytes())
         out["sizes"].append(T.small_ints(np.bincount(rows.astype(np.int64)) if len(rows) else np.zeros(0, np.int64)))
         out["ids"].append(table.column("ids")[i].as_py())
-    return pa.table(out, schema=pa.schema([("r", pa.int64()), ("p", pa.int32()), *((k, pa.binary()) for k in ("grams", "df", "rows", "sizes", "ids"))]))
+    return pa.table(out, schema=schema)
 
 
 def _rows(threshold: float):
     """One row block: documents that may have a partner, with their shared n-grams, rarest first."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = T.from_bytes(table.column("ids"), np.int64)
+        ids, txt = T.from_bytes(table.column("ids"), np.int64).reshape(2, -1)
         size = np.zeros(len(ids), np.int64)
         for x in table.column("sizes").to_pylist():
             v = T.read_small_ints(x)
             size[: len(v)] += v
-        g = [T.read_low_bytes(x, _KEPT) + np.uint64(p * 0xD6E8FEB86659FD93 % 2**64) for x, p in zip(table.column("grams").to_pylist(), table.column("p").to_pylist())]
-        g = T.mix(np.concatenate(g)) & _MASK
+        g = [
+            np.frombuffer(x, np.uint64) if p < 0 else T.mix(T.read_low_bytes(x, _KEPT) + np.uint64(p * 0xD6E8FEB86659FD93 % 2**64)) & _MASK
+            for x, p in zip(table.column("grams").to_pylist(), table.column("p").to_pylist())
+        ]
+        g = np.concatenate(g)
         df, row = T.from_bytes(table.column("df"), np.uint8), T.from_bytes(table.column("rows"), np.uint16).astype(np.int64)
         shared = np.bincount(row, minlength=len(ids))
         stays = (size > 0) & (shared >= np.maximum(1, need(threshold, size)))
@@ -154,25 +236,26 @@ def _rows(threshold: float):
         a, b = (T.seg_sum(T.mix(g + np.uint64(k)), off).view(np.int64) for k in (1, 0xABCDEF12345))
         prefix = np.maximum(0, size[at] - need(threshold, size[at]) + 1 - (size[at] - shared[at]))
         return pa.table(
-            [pa.array(ids[at]), pa.array(size[at]), pa.array(a), pa.array(b), T.as_list(g.view(np.int64), off, pa.int64()), pa.array(prefix)],
-            names=["doc_id", "size", "sig_a", "sig_b", "grams", "prefix"],
+            [pa.array(ids[at]), pa.array(txt[at]), pa.array(size[at]), pa.array(a), pa.array(b), T.as_list(g.view(np.int64), off, pa.int64()), pa.array(prefix)],
+            names=["doc_id", "txt", "size", "sig_a", "sig_b", "grams", "prefix"],
         )
 
     return run
 
 
-ROWS = "doc_id bigint, size bigint, sig_a bigint, sig_b bigint, grams array<bigint>, prefix bigint"
+ROWS = "doc_id bigint, txt bigint, size bigint, sig_a bigint, sig_b bigint, grams array<bigint>, prefix bigint"
 
 
-def sets_with_partners(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+def sets_with_partners(docs: DataFrame, n: int, threshold: float, hot: int = HOT) -> DataFrame:
     """Documents that pass the size bound, with their shared n-grams."""
-    docs = T.documents(docs, "doc_id", "text")
+    docs = T.documents(docs, "doc_id", "text").withColumn("txt", F.xxhash64("text"))
     count = docs.count()
     blocks = 16
-    while blocks * 2000 < count and blocks < 1 << 20:
+    while blocks * 2000 < count:
         blocks *= 2
-    inc = docs.mapInArrow(_incidence(n, blocks), "p int, r bigint, grams binary, rows binary, ids binary")
-    cols = inc.groupBy("p").applyInArrow(_columns, "r bigint, p int, grams binary, df binary, rows binary, sizes binary, ids binary")
+    known = docs.sparkSession.sparkContext.broadcast(frequent(docs, n, hot=hot))
+    inc = docs.mapInArrow(_incidence(n, blocks, known), _INCIDENCE)
+    cols = inc.groupBy("p").applyInArrow(_columns, "r bigint, p bigint, grams binary, df binary, rows binary, sizes binary, ids binary")
     return cols.groupBy("r").applyInArrow(_rows(threshold), ROWS)
 
 
@@ -197,11 +280,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _product(threshold: float):
-    """Sparse product of one block of rows with another of the same tile; overlap counts below the bound are discarded."""
+    """Sparse product of one block of rows with another of the same tile; overlap counts below the bound are discarded.
+
+    Rows (cid, links, low): how many documents of the other block a row is linked to, and the least cid it is connected to within the pair of blocks.
+    """
+    none = pa.table([pa.array([], pa.int64())] * 3, names=["cid", "links", "low"])
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        cid, size = table.column("cid").to_numpy(), table.column("size").to_numpy()
+        cid, size, many = (table.column(k).to_numpy() for k in ("cid", "size", "many"))
         lists = table.column("grams").combine_chunks()
         off = lists.offsets.to_numpy().astype(np.int64)
         g = lists.values.to_numpy()[off[0] : off[-1]]
@@ -211,7 +298,7 @@ def _product(threshold: float):
         left = np.flatnonzero(side != 1)
         right = left if square else np.flatnonzero(side == 1)
         if not len(left) or not len(right):
-            return pa.table([pa.array([], pa.int64())] * 3, names=["a", "b", "overlap"])
+            return none
         order = np.lexsort((row, g))
         g, row = g[order], row[order]
         cut = T.runs(g)
@@ -251,70 +338,73 @@ def _product(threshold: float):
         ok = counts >= threshold * (a[:, None] + b[None, :] - counts) - 1e-9
         ok &= counts > 0
         if square:
-            ok &= np.tri(len(left), k=-1, dtype=bool).T
+            np.fill_diagonal(ok, False)
+        low_l, low_r = cid[left].copy(), cid[right].copy()
         x, y = np.nonzero(ok)
-        i, j, c = cid[left[x]], cid[right[y]], counts[x, y].astype(np.int64)
-        return pa.table([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(c)], names=["a", "b", "overlap"])
+        while len(x):  # the least cid of each component
+            before = low_l.copy(), low_r.copy()
+            np.minimum.at(low_r, y, low_l[x])
+            np.minimum.at(low_l, x, low_r[y])
+            if square:
+                low_l = low_r = np.minimum(low_l, low_r)
+            if (before[0] == low_l).all() and (before[1] == low_r).all():
+                break
+        links_l, links_r = ok @ many[right], ok.T @ many[left]
+        some_l, some_r = links_l > 0, (links_r > 0) & (not square)
+        cols = (cid[left], cid[right]), (links_l, links_r), (low_l, low_r)
+        return pa.table([pa.array(np.concatenate([u[some_l], v[some_r]])) for u, v in cols], names=["cid", "links", "low"])
 
     return run
 
 
-def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): documents (doc_id, cid, size, shared, alike: one with another) of each class of equal size and shared n-grams, and the pairs (a, b, overlap, size_a, size_b) of classes."""
-    rows = T.materialize(sets_with_partners(docs, n, threshold)).withColumn("cid", F.xxhash64("sig_a", "sig_b", "size"))
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """(doc_id, txt, class_id, class_txt, links): documents that have links, the first document of their class (by doc_id, then by the hash of its text) and the number of their links."""
+    rows = T.materialize(sets_with_partners(docs, n, threshold, hot)).withColumn("cid", F.xxhash64("sig_a", "sig_b", "size"))
     shared = F.size("grams").cast("bigint")
-    alike = shared >= F.lit(threshold) * (2 * F.col("size") - shared) - 1e-9
-    members = rows.select("doc_id", "cid", "size", shared.alias("shared"), alike.alias("alike"))
-    reps = rows.select("cid", "size", "grams", "prefix").dropDuplicates(["cid"])
-    reps = T.materialize(reps)
+    members = rows.select("doc_id", "txt", "cid", (shared >= F.lit(threshold) * (2 * F.col("size") - shared) - 1e-9).alias("alike")).distinct()
+    # documents that fold: how many, the first one, whether they are alike with one another
+    folded = T.materialize(members.groupBy("cid").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "txt")).alias("first"), F.first("alike").alias("alike")))
+    reps = T.materialize(rows.select("cid", "size", "grams", "prefix").dropDuplicates(["cid"]).join(folded.select("cid", "many"), "cid"))
     post = reps.select("cid", F.explode(F.slice("grams", 1, F.col("prefix").cast("int"))).alias("g"))
-    links = post.groupBy("g").agg(F.collect_set("cid").alias("l")).where(F.size("l") > 1)
-    links = links.select(F.array_min("l").alias("a"), F.explode("l").alias("b")).where("a < b").distinct()
+    least = post.groupBy("g").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z").select("g", "a")
+    links = post.join(least, "g").where("a < cid").select("a", F.col("cid").alias("b")).distinct()
     tile = components(links).withColumnsRenamed({"v": "cid", "c": "tile"})
     # rows of a tile in blocks of bounded size; a tile of one block is one task, a larger one all its block pairs
-    at = reps.select("cid", "prefix", F.element_at("grams", 1).alias("rare")).join(tile, "cid")
-    counts = at.groupBy("tile").count().select("tile", F.ceil(F.col("count") / BLOCK).alias("k"))
-    at = at.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("k")))
+    counts = tile.groupBy("tile").count().select("tile", F.ceil(F.col("count") / block).alias("k"))
+    at = tile.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("k")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))
     spread = at.select("cid", "tile", "block", other.alias("o"))
     spread = spread.select(
         "cid", "tile", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"),
         F.when(F.col("block") == F.col("o"), 2).when(F.col("block") < F.col("o"), 0).otherwise(1).alias("side"),
     )
-    tiles = spread.join(reps.select("cid", "size", "grams"), "cid")
-    pairs = tiles.groupBy("tile", "x", "y").applyInArrow(_product(threshold), "a bigint, b bigint, overlap bigint")
-    size = reps.select("cid", "size")
-    pairs = pairs.join(size.withColumnsRenamed({"cid": "a", "size": "size_a"}), "a").join(size.withColumnsRenamed({"cid": "b", "size": "size_b"}), "b")
-    return members, pairs
+    tiles = spread.join(reps.select("cid", "size", "many", "grams"), "cid")
+    found = T.materialize(tiles.groupBy("tile", "x", "y").applyInArrow(_product(threshold), "cid bigint, links bigint, low bigint"))
+    group = components(found.where("low < cid").select(F.col("low").alias("a"), F.col("cid").alias("b"))).withColumnsRenamed({"v": "cid", "c": "group"})
+    own = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    table = folded.join(own, "cid", "left").join(group, "cid", "left")
+    table = table.select(
+        "cid", "first", F.coalesce("group", "cid").alias("group"),
+        (F.coalesce("links", F.lit(0)) + F.when(F.col("alike"), F.col("many") - 1).otherwise(0)).alias("links"),
+    ).where("links > 0")
+    head = table.groupBy("group").agg(F.min("first").alias("head"))
+    table = table.join(head, "group").select("cid", "head", "links")
+    return members.join(table, "cid").select("doc_id", "txt", F.col("head.doc_id").alias("class_id"), F.col("head.txt").alias("class_txt"), "links")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, overlap, n_a, n_b): every pair of documents with Jaccard >= threshold over word n-gram sets; see the module for edge cases."""
-    members, pairs = class_pairs(docs, n, threshold)
-    all_pairs = pairs.unionByName(
-        members.groupBy("cid").agg(F.count("*").alias("m"), F.first("size").alias("s"), F.first("shared").alias("o"), F.first("alike").alias("alike"))
-        .where("m > 1 and alike")
-        .select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.col("o").alias("overlap"), F.col("s").alias("size_a"), F.col("s").alias("size_b"))
-    )
-    x = members.select(F.col("cid").alias("a"), F.col("doc_id").alias("i"))
-    y = members.select(F.col("cid").alias("b"), F.col("doc_id").alias("j"))
-    out = all_pairs.join(x, "a").join(y, "b").where("i <> j and (a <> b or i < j)")
-    less = F.col("i") < F.col("j")
-    return out.select(
-        F.least("i", "j").alias("doc_a"), F.greatest("i", "j").alias("doc_b"), F.col("overlap"),
-        F.when(less, F.col("size_a")).otherwise(F.col("size_b")).alias("n_a"),
-        F.when(less, F.col("size_b")).otherwise(F.col("size_a")).alias("n_b"),
-    ).distinct()
+    """(doc_id, class_id, links): every document with a Jaccard index >= threshold with another, over word n-gram sets; see the module for edge cases."""
+    return classes(docs, n, threshold).select("doc_id", "class_id", "links")
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group, the one with the least doc_id; a group is a connected component of the join's pairs.
+    """One document of each class stays, the one with the least doc_id (among texts of that doc_id: with the least hash).
 
-    Rows without a doc_id stay.  Columns are those of `docs`.
+    Rows without a doc_id or without words stay, and so do documents without links.  Rows that repeat a doc_id and its text stay or go
+    together; another text of the same doc_id is a document of its own.  An empty table gives an empty one.  Columns are those of `docs`,
+    whatever their names.
     """
-    members, pairs = class_pairs(docs, n, threshold)
-    group = components(pairs.select("a", "b")).withColumnsRenamed({"v": "cid", "c": "group"})
-    members = members.join(group, "cid", "left").withColumn("group", F.coalesce("group", F.expr("if(alike, cid, null)")))
-    head = members.groupBy("group").agg(F.min("doc_id").alias("head"))
-    gone = members.join(head, "group").where("doc_id <> head").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = classes(docs, n, threshold).where("doc_id <> class_id or txt <> class_txt")
+    d, t = T.fresh(docs, "doc"), T.fresh(docs, "txt")
+    gone = gone.select(F.col("doc_id").alias(d), F.col("txt").alias(t))
+    return docs.join(gone, (docs["doc_id"] == F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t)), "left_anti")

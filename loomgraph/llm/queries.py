@@ -66,7 +66,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op10_ngram_jaccard_join": r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
 g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
@@ -74,10 +74,11 @@ g AS (
 ),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 o AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap
-  FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
-)
-SELECT doc_a, doc_b, overlap, x.n AS n_a, y.n AS n_b
-FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE overlap >= 0.7 * (x.n + y.n - overlap) - 1e-9""",
+  SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS overlap
+  FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+e AS (SELECT i, j FROM o JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE overlap >= 0.7 * (x.n + y.n - overlap) - 1e-9),
+c AS (SELECT DISTINCT i, i AS at FROM e UNION SELECT c.i, e.j FROM c JOIN e ON e.i = c.at)
+SELECT l.i AS doc_id, l.class_id, d.links
+FROM (SELECT i, min(at) AS class_id FROM c GROUP BY i) l JOIN (SELECT i, count(*) AS links FROM e GROUP BY i) d USING (i)""",
 }

@@ -6,7 +6,7 @@ import sentencepiece
 from helpers import prose
 from test_decontamination import brute as leaks
 from test_line_dedup import brute as matching
-from test_ngram_join import brute as near
+from test_ngram_join import classes as near
 
 import corpus_pipeline
 from loomgraph.llm import pieces
@@ -38,11 +38,8 @@ def test_pipeline_as_by_hand(spark, tmp_path):
     cut = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in kept]
     cut = [(i, t) for i, t in cut if t.strip()]
     assert len(gone) > 10 and len(cut) < len(kept) + 1
-    head = {i: i for i, _ in cut}
-    for _ in cut:
-        for a, b, *_ in near(cut):
-            head[a] = head[b] = min(head[a], head[b])
-    one = [(i, t) for i, t in cut if head[i] == i]
+    head = {i: c for i, c, _ in near(cut)}
+    one = [(i, t) for i, t in cut if head.get(i, i) == i]
     bad = {i for i, *_ in leaks(one, bench)}
     assert bad == {80} and len(one) < len(cut)
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
