@@ -11,8 +11,9 @@ its distance is at most floor(0.2 n).
    steps on or not, by a hash of step and word, so that equal stretches meet
    again after an edit and edit distance becomes Hamming distance.  Bits of the
    embedding are sampled; windows and items whose samples agree are candidates.
-   This is repeated as often as simulated edits of the items themselves show to
-   be needed for the target recall.
+   This is repeated as often as simulated edits of items of like size show to be
+   needed for the target recall; sizes for which MOST_REPETITIONS do not reach it
+   are compared with all the windows that are left.
 3. Candidates, and the windows up to d words away, are compared exactly.
 
 The items are broadcast a bounded part at a time; a larger benchmark takes more
@@ -21,7 +22,7 @@ passes.
 Defined results
 * null doc_id or item_id, null or empty text, no words: no matches.
 * fewer words than an item: the text is the window if no more than d are missing; so are windows at the end of a text.
-* very long texts: whole.
+* very long texts and items: whole; candidates are verified within a band as wide as the distance allowed.
 * ties: the first of the windows at the least distance.
 * rows that repeat a doc_id: one result of the least distance (the first window) for each item.
 * items of fewer than five words match exactly only.
@@ -42,6 +43,7 @@ RATE = 0.2
 RECALL = 0.95
 SAMPLES = 3
 MOST_REPETITIONS = 512
+TRIALS = 60  # edited copies of items of like size
 ITEM_WORDS = 4_000_000  # of the items broadcast at a time
 _PAD = np.uint64(0x5AD5AD5AD5AD5AD5)
 
@@ -66,19 +68,23 @@ def distances(n: np.ndarray, rate: float) -> np.ndarray:
     return np.floor(rate * n + 1e-9).astype(np.int64)
 
 
-def edit_distance(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of the rows of a (lengths na) and b (lengths nb), side by side."""
-    rows = np.arange(len(a))
-    step = np.arange(b.shape[1] + 1, dtype=np.int32)
-    d = np.tile(step, (len(a), 1))
-    out = np.where(na == 0, nb, 0).astype(np.int64)
-    for i in range(1, int(na.max()) + 1 if len(na) else 0):
-        new = np.empty_like(d)
-        new[:, 0] = i
-        np.minimum(d[:, :-1] + (a[:, i - 1 : i] != b), d[:, 1:] + 1, out=new[:, 1:])
-        d = np.minimum.accumulate(new - step, axis=1) + step  # words put in, left to right
-        done = na == i
-        out[done] = d[rows[done], nb[done]]
+def edit_distance(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, most: int) -> np.ndarray:
+    """Levenshtein distances of the rows of a (lengths na) and b (lengths nb), side by side; right where at most `most`, else more than that."""
+    far = np.int32(1 << 20)
+    band = np.arange(-most, most + 1, dtype=np.int32)
+    d = np.tile(np.where(band >= 0, band, far), (len(a), 1)).astype(np.int32)
+    width = int(na.max()) if len(na) else 0
+    b = np.pad(b, ((0, 0), (most, most + max(0, width - b.shape[1]))), constant_values=_PAD)
+    out = np.full(len(a), far, np.int64)
+    for i in range(1, width + 1):
+        new = d + (a[:, i - 1 : i] != b[:, i - 1 : i + 2 * most])
+        np.minimum(new[:, :-1], d[:, 1:] + 1, out=new[:, :-1])
+        if i <= most:
+            new[:, : most - i] = far
+            new[:, most - i] = i
+        d = np.minimum.accumulate(new - band, axis=1) + band  # words put in, left to right
+        done = np.flatnonzero((na == i) & (abs(nb - i) <= most))
+        out[done] = d[done, most + nb[done] - i]
     return out
 
 
@@ -117,57 +123,76 @@ def edited(h: np.ndarray, d: int, g: np.random.Generator) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def repetitions(items: list[np.ndarray], rate: float, recall: float, most: int = MOST_REPETITIONS) -> int:
-    """The least power of two of repetitions that finds `recall` of copies of the items with as many edits as allowed."""
+def repetitions(items: list[np.ndarray], rate: float, recall: float, most: int = MOST_REPETITIONS, trials: int = TRIALS) -> int:
+    """The least power of two of repetitions that finds `recall` of copies of the items with as many edits as allowed; 0: none up to `most`."""
     g = np.random.default_rng(1)
     trial = [x for x in items if distances(np.array([len(x)]), rate)[0] > 0]
-    trial = [trial[i] for i in g.integers(0, len(trial), 60)] if trial else []
-    pairs = [(x, edited(x, int(rate * len(x) + 1e-9), g)) for x in trial]
-    found, r = np.zeros(len(pairs), bool), 0
-    target = 1
+    if not trial:
+        return 1
+    pairs = [(x, edited(x, int(rate * len(x) + 1e-9), g)) for x in (trial[i] for i in g.integers(0, len(trial), trials))]
+    h = np.concatenate([y for p in pairs for y in p])
+    n = np.array([len(x) for x, _ in pairs])
+    size = np.stack([n, np.minimum(n, [len(y) for _, y in pairs])], 1).reshape(-1)
+    start = np.concatenate([[0], np.cumsum([len(y) for p in pairs for y in p])])[:-1]
+    found, r, target = np.zeros(len(pairs), bool), 0, 1
     while target <= most:
-        while r < target:
-            for k, (x, y) in enumerate(pairs):
-                if not found[k]:
-                    n = len(x)
-                    place = np.tile(sample_places(n, r), (2, 1))
-                    e = embed(np.concatenate([x, y]), np.array([0, n]), np.array([n, min(n, len(y))]), place, np.full(2, r))
-                    found[k] = e[0] == e[1]
-            r += 1
-        if not len(pairs) or found.mean() >= recall:
+        while r < target:  # some repetitions of all pairs side by side
+            some = np.arange(r, min(target, r + 32))
+            places = np.stack([sample_places(int(m), int(k)) for k in some for m in np.repeat(n, 2)])
+            e = embed(h, np.tile(start, len(some)), np.tile(size, len(some)), places, np.repeat(some, len(start))).reshape(len(some), -1, 2)
+            found |= (e[:, :, 0] == e[:, :, 1]).any(0)
+            r = int(some[-1]) + 1
+        if found.mean() >= recall:
             return target
         target *= 2
-    return most
+    return 0
+
+
+def size_groups(sizes: list[int]) -> list[list[int]]:
+    """Sizes that differ by at most a quarter."""
+    out: list[list[int]] = []
+    for n in sorted(sizes):
+        if out and n <= 1.25 * out[-1][0]:
+            out[-1].append(n)
+        else:
+            out.append([n])
+    return out
 
 
 class Index:
     """The items of one part of the benchmark."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray], rate: float, recall: float):
-        self.ids, self.items, self.rate = np.array(ids, np.int64), items, rate
+    def __init__(self, ids: list[int], items: list[np.ndarray], rate: float, recall: float, most: int = MOST_REPETITIONS):
+        self.ids, self.rate = np.array(ids, np.int64), rate
         self.size = np.array([len(x) for x in items], np.int64)
-        self.words = np.unique(np.concatenate(items))
+        self.flat, self.off = np.concatenate(items), np.concatenate([[0], np.cumsum(self.size)])
+        self.words = np.unique(self.flat)
         self.pairs = np.unique(np.concatenate([pair_hash(x) for x in items] + [np.zeros(0, np.uint64)]))
         self.seen = np.zeros(1 << 22, bool)
         self.seen[(self.pairs >> np.uint64(42)).astype(np.int64)] = True
+        sizes = np.unique(self.size).tolist()
         # the sizes of the items that hold each pair, a bit for each size (sizes that share a bit only weaken the filter)
-        self.bit = {n: k % 64 for k, n in enumerate(np.unique(self.size).tolist())}
+        self.bit = {n: k % 64 for k, n in enumerate(sizes)}
         self.of = np.zeros(len(self.pairs), np.uint64)
         for x in items:
             self.of[np.searchsorted(self.pairs, pair_hash(x))] |= np.uint64(1 << self.bit[len(x)])
-        self.reps = repetitions(items, rate, recall)
-        self.matrix = np.full((len(items), int(self.size.max())), _PAD, np.uint64)
-        for k, x in enumerate(items):
-            self.matrix[k, : len(x)] = x
+        self.groups = size_groups(sizes)
+        #: repetitions by size; 0: compare all
+        self.reps = {n: r for g in self.groups for r in [repetitions([x for x in items if g[0] <= len(x) <= g[-1]], rate, recall, most)] for n in g}
         #: by size: the sampled places of each repetition, its sorted keys, and their items
         self.keys = {}
-        for n in np.unique(self.size).tolist():
+        for n in sizes:
             own = np.flatnonzero(self.size == n)
-            places = np.stack([sample_places(n, r) for r in range(self.reps)])
-            k, r = len(own), self.reps
-            e = embed(self.matrix[own, :n].reshape(-1), np.tile(np.arange(k) * n, r), np.full(k * r, n), np.repeat(places, k, 0), np.repeat(np.arange(r), k)).reshape(r, k)
+            k, r = len(own), self.reps[n]
+            places = np.stack([sample_places(n, x) for x in range(r)]) if r else np.zeros((0, SAMPLES), np.int64)
+            e = embed(self.flat, np.tile(self.off[own], r), np.full(k * r, n), np.repeat(places, k, 0), np.repeat(np.arange(r), k)).reshape(r, k)
             order = np.argsort(e, axis=1, kind="stable")
-            self.keys[n] = (places, np.take_along_axis(e, order, 1), own[order])
+            self.keys[n] = (places, np.take_along_axis(e, order, 1), own[order] if r else own)
+
+    def rows(self, item: np.ndarray, width: int) -> np.ndarray:
+        """The words of items, side by side."""
+        at = self.off[item][:, None] + np.arange(width)
+        return np.where(np.arange(width) < self.size[item][:, None], self.flat[np.minimum(at, len(self.flat) - 1)], _PAD)
 
 
 def _inside(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -194,15 +219,8 @@ def matches(h: np.ndarray, off: np.ndarray, index: Index) -> tuple[np.ndarray, .
     cw = None
     windows = []
     # sizes in groups: the places that could be right for any size of a group, then each size at these only
-    sizes = sorted(index.keys)
-    groups: list[list[int]] = []
-    for n in sizes:
-        if groups and n <= 1.25 * groups[-1][0]:
-            groups[-1].append(n)
-        else:
-            groups.append([n])
     where = {}
-    for g in groups:
+    for g in index.groups:
         needs = [n - 1 - 2 * int(distances(np.array([n]), index.rate)[0]) for n in g]
         if min(needs) <= 0:
             where |= dict.fromkeys(g, None)
@@ -228,58 +246,65 @@ def matches(h: np.ndarray, off: np.ndarray, index: Index) -> tuple[np.ndarray, .
             continue
         windows.append(np.stack([at, m, np.full(len(at), n)], 1))
     some = []
-    every = np.concatenate(windows) if windows else np.zeros((0, 3), np.int64)
-    step = max(1, 1_000_000 // index.reps)
-    for s in range(0, len(every), step):
-        at, m, size = every[s : s + step].T
-        places = np.concatenate([np.tile(index.keys[n][0], (int((size == n).sum()), 1)) for n in dict.fromkeys(size.tolist())])
-        e = embed(h, np.repeat(at, index.reps), np.repeat(m, index.reps), places, np.tile(np.arange(index.reps), len(at))).reshape(len(at), index.reps)
-        for n in dict.fromkeys(size.tolist()):
-            _, keys, owners = index.keys[n]
-            own = size == n
-            for r in range(index.reps):
-                x = e[own, r]
-                lo, hi = np.searchsorted(keys[r], x, "left"), np.searchsorted(keys[r], x, "right")
+    for win in windows:
+        n = int(win[0, 2])
+        places, keys, owners = index.keys[n]
+        reps = index.reps[n]
+        if not reps:
+            some += [np.stack([win[:, 0], np.full(len(win), i)], 1) for i in owners]
+            continue
+        step = max(1, 1_000_000 // reps)
+        for s in range(0, len(win), step):
+            at, m = win[s : s + step, 0], win[s : s + step, 1]
+            e = embed(h, np.repeat(at, reps), np.repeat(m, reps), np.tile(places, (len(at), 1)), np.tile(np.arange(reps), len(at))).reshape(len(at), reps)
+            for r in range(reps):
+                lo, hi = np.searchsorted(keys[r], e[:, r], "left"), np.searchsorted(keys[r], e[:, r], "right")
                 k = hi - lo
                 if k.any():
                     o = np.concatenate([[0], np.cumsum(k)])
                     item = owners[r][np.repeat(lo - o[:-1], k) + np.arange(o[-1])]
-                    some.append(np.stack([np.repeat(at[own], k), item], 1))
+                    some.append(np.stack([np.repeat(at, k), item], 1))
     if not some:
         return none
     cand = np.unique(np.concatenate(some), axis=0)
-    best = None
-    for widen in (False, True):
-        start, item = cand[:, 0], cand[:, 1]
-        row = np.searchsorted(off, start, "right") - 1
-        if widen:  # the windows around the best one
-            d = distances(index.size[item], index.rate)
-            k = 2 * d + 1
-            o = np.concatenate([[0], np.cumsum(k)])
-            start = np.repeat(start - d, k) + (np.arange(o[-1]) - np.repeat(o[:-1], k))
-            item, row = np.repeat(item, k), np.repeat(row, k)
-            ok = (start >= off[row]) & (start < off[row + 1])
-            start, item, row = start[ok], item[ok], row[ok]
+
+    def verified(start, item, row):
+        """The best window of each text and item; its distance."""
         n = index.size[item]
         m = np.minimum(n, off[row + 1] - start)
         most = distances(n, index.rate)
         ok = m >= n - most
         start, item, row, n, m, most = (x[ok] for x in (start, item, row, n, m, most))
+        order = np.argsort(n, kind="stable")
+        start, item, row, n, m, most = (x[order] for x in (start, item, row, n, m, most))
         dist = np.zeros(len(start), np.int64)
-        for s in range(0, len(start), 20_000):
-            q = slice(s, s + 20_000)
+        s = 0
+        while s < len(start):  # like sizes together, about four million words at a time
+            e = min(len(start), int(np.searchsorted(n, 1.25 * n[s], "right")), s + max(1, 4_000_000 // int(1.25 * n[s])))
+            q = slice(s, e)
             width = int(n[q].max())
             b = h[np.minimum(start[q][:, None] + np.arange(width), len(h) - 1)]
-            dist[q] = edit_distance(index.matrix[item[q], :width], n[q], b, m[q])
+            dist[q] = edit_distance(index.rows(item[q], width), n[q], b, m[q], int(most[q].max()))
+            s = e
         ok = dist <= most
         start, item, row, dist = start[ok], item[ok], row[ok], dist[ok]
         order = np.lexsort((start, dist, item, row))
         start, item, row, dist = start[order], item[order], row[order], dist[order]
         first = np.ones(len(row), bool)
         first[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-        cand = np.stack([start[first], item[first]], 1)
-        best = (row[first], item[first], dist[first], start[first] - off[row[first]])
-    return best
+        return start[first], item[first], row[first], dist[first]
+
+    start, item, row, dist = verified(*cand.T, np.searchsorted(off, cand[:, 0], "right") - 1)
+    exact = dist == 0  # all equal windows are candidates, the first was taken
+    d = distances(index.size[item[~exact]], index.rate)
+    k = 2 * d + 1  # the windows around the best one
+    o = np.concatenate([[0], np.cumsum(k)])
+    near = np.repeat(start[~exact] - d, k) + (np.arange(o[-1]) - np.repeat(o[:-1], k))
+    i, r = np.repeat(item[~exact], k), np.repeat(row[~exact], k)
+    ok = (near >= off[r]) & (near < off[r + 1])
+    more = verified(near[ok], i[ok], r[ok])
+    start, item, row, dist = (np.concatenate([x[exact], y]) for x, y in zip((start, item, row, dist), more))
+    return row, item, dist, start - off[row]
 
 
 def indexes(benchmark: DataFrame, rate: float, recall: float, most_words: int):
@@ -328,6 +353,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, reca
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL) -> DataFrame:
-    """`docs` without the documents that hold a benchmark item; rows without a doc_id stay."""
-    gone = contaminated(docs, benchmark, rate, recall).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__leak"], "left_anti")
+    """`docs` without the documents that hold a benchmark item.
+
+    Rows without a doc_id, text or words stay; rows that repeat a doc_id go together when one of them holds an item.  An empty table
+    gives an empty one.  Columns are those of `docs`, whatever their names.
+    """
+    name = T.fresh(docs, "leak")
+    gone = contaminated(docs, benchmark, rate, recall).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
