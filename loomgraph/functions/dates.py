@@ -56,24 +56,52 @@ def _month(name: Column) -> Column:
     return out
 
 
-def parse_timestamp(c: Column) -> Column:
-    """ISO dates, 'Month DD, YYYY', 'DD Month YYYY', 'Month YYYY', a year: the partial date, or null."""
-    names = "(?i)(" + "|".join(m[:3] + "(?:" + m[3:] + ")?" for m in MONTHS) + ")"
-    iso = F.regexp_extract(c, r"(?<!\d)((?:19|20)\d{2}-\d{2}(?:-\d{2})?)(?!\d)", 1)
-    mdy = names + r"\.? (\d{1,2}),? ((?:19|20)\d{2})"
-    dmy = r"(\d{1,2}) " + names + r"\.? ((?:19|20)\d{2})"
-    my = names + r"\.? ((?:19|20)\d{2})"
-    year = F.regexp_extract(c, r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1)
-    part = lambda p, i: F.regexp_extract(c, p, i)
+_NAMES = "(?i)\\b(" + "|".join([*MONTHS, *(m[:3] for m in MONTHS), "sept"]) + ")"
+
+
+def parse_span(c: Column) -> Column:
+    """(start, end, precision) of free text: an ISO day or instant, YYYY-MM, a range of years, 'Month DD, YYYY', 'DD Month YYYY', 'Month YYYY', a year of 1900 to 2099; null for none."""
+    t = F.trim(c)
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    span = lambda a, kind, b=None: F.struct(a.alias("start"), (a if b is None else b).alias("end"), F.lit(kind).alias("precision"))
+    day = part(r"^(\d{4}-\d{2}-\d{2})(?!\d)", 1)
+    month = part(r"^(\d{4}-\d{2})$", 1)
+    years2 = r"^(\d{4})\s*[-\u2013]\s*(\d{4})$"
+    mdy, dmy, my = _NAMES + r"\.?\s+(\d{1,2}),?\s+(\d{4})\b", r"\b(\d{1,2})\s+" + _NAMES.replace("\\b", "") + r"\.?\s+(\d{4})\b", _NAMES + r"\.?\s+(\d{4})\b"
+    year = part(r"\b((?:19|20)\d{2})\b", 1)
+    ok = lambda d: d.cast("int").between(1, 31)
+    two = lambda d: F.lpad(d, 2, "0")
     return (
-        F.when(iso != "", iso)
-        .when(part(mdy, 3) != "", F.concat_ws("-", part(mdy, 3), _month(part(mdy, 1)), F.lpad(part(mdy, 2), 2, "0")))
-        .when(part(dmy, 3) != "", F.concat_ws("-", part(dmy, 3), _month(part(dmy, 2)), F.lpad(part(dmy, 1), 2, "0")))
-        .when(part(my, 2) != "", F.concat_ws("-", part(my, 2), _month(part(my, 1))))
-        .when(year != "", year)
+        F.when(day != "", span(day, "day")).when(month != "", span(month, "month"))
+        .when(part(years2, 1) != "", span(F.least(part(years2, 1), part(years2, 2)), "year", F.greatest(part(years2, 1), part(years2, 2))))
+        .when((part(mdy, 3) != "") & ok(part(mdy, 2)), span(F.concat_ws("-", part(mdy, 3), _month(part(mdy, 1)), two(part(mdy, 2))), "day"))
+        .when((part(dmy, 3) != "") & ok(part(dmy, 1)), span(F.concat_ws("-", part(dmy, 3), _month(part(dmy, 2)), two(part(dmy, 1))), "day"))
+        .when(part(my, 2) != "", span(F.concat_ws("-", part(my, 2), _month(part(my, 1))), "month"))
+        .when(year != "", span(year, "year"))
     )
 
 
+def parse_timestamp(c: Column) -> Column:
+    """The start of parse_span."""
+    return parse_span(c)["start"]
+
+
+def year_scope(window: Column, rel: Column | None = None) -> Column:
+    """(start, end, precision): years of a window; a range of years, else the first of them with an open end; null without years, or where the window names no cue of the relation."""
+    from .text import relation_cues
+
+    y = r"\b((?:19|20)\d{2})\b"
+    both = y + r"\s*(?:-|to|until|through)\s*" + y
+    a, b = (F.regexp_extract(window, "(?i)" + both, i) for i in (1, 2))
+    first = F.get(years(window), F.lit(0))
+    none = F.lit(None).cast("string")
+    out = F.when(a != "", F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end"), F.lit("year").alias("precision"))).when(first.isNotNull(), F.struct(first.alias("start"), none.alias("end"), F.lit("year").alias("precision")))
+    if rel is None:
+        return out
+    low = F.lower(window)
+    return F.when(F.exists(relation_cues(rel), lambda x: F.contains(low, x)), out)
+
+
 def years(c: Column) -> Column:
     """The distinct years of a text, in order."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), 1)))

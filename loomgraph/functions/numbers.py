@@ -21,6 +21,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (n == 0), F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """Cosine within 0 and 1, 0 for a zero vector; different lengths raise an error."""
+    return F.when(F.assert_true(F.size(a) == F.size(b), F.lit("vectors of different lengths")).isNull(), clamp(cosine(a, b)))
+
+
 def span_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Intersection over union of half-open spans; 0 when one is missing or empty."""
     inter = F.greatest(F.lit(0), F.least(a1, b1) - F.greatest(a0, b0))

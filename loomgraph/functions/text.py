@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 QUERY_STOP = "the a an of in on at for to and or with about who what where when why how is are was were does do did which that all show find related involving connected within hops hop entities entity events event companies company".split()
+SEARCH_STOP = "the a an of in on at for to and or with about who what where when why how is are was were all show".split()
 TITLES = "dr prof mr mrs ms miss sir".split()
 
 
@@ -62,17 +63,19 @@ def relation_cues(rel: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.array_join(F.filter(parts, lambda x: x != ""), " ")), F.filter(parts, lambda x: F.length(x) >= 3)))
 
 
-NEGATIONS = [" not ", "n't ", " never ", " no longer ", " denied ", " denies ", " without ", " neither ", " nor ", " cancelled ", " refused ", " failed to ", " rejected ", " ceased ", " instead of ", " rather than "]
+NEGATIONS = ["no longer", "never", "did not", "does not", "do not", "is not", "was not", "are not", "were not", "cannot", "can't", "won't", "ceased to", "stopped", "discontinued", "discontinue"]
+MAKING = ("produces", "produce", "produced", "manufactures", "manufacture", "makes", "make")
 
 
 def negated(window: Column, rel: Column) -> Column:
-    """A cue of negation in a window that also names the stem of the relation."""
-    w = F.concat(F.lit(" "), F.lower(window), F.lit(" "))
+    """A cue of negation in a window that also names the first part of the relation (of four letters or more), or for a relation of making any such verb."""
+    w = F.lower(window)
     cue = F.lit(False)
     for n in NEGATIONS:
         cue = cue | w.contains(n)
-    stem = F.substring(F.element_at(F.split(F.lower(rel), "_"), 1), 1, 5)
-    return cue & (F.length(stem) >= 4) & w.contains(stem)
+    stem = F.lower(F.element_at(F.split(rel, "_"), 1))
+    making = stem.isin(*MAKING) & (w.contains("produc") | w.contains("manufactur") | w.contains("mak"))
+    return F.coalesce(cue & (((F.length(stem) >= 4) & w.contains(stem)) | making), F.lit(False))
 
 
 def base_name(c: Column) -> Column:
@@ -81,5 +84,19 @@ def base_name(c: Column) -> Column:
 
 
 def role_relation(c: Column) -> Column:
-    """'chief executive' becomes CHIEF_EXECUTIVE_OF."""
-    return F.concat(F.upper(F.regexp_replace(squeeze(c), r"[\s\-]+", "_")), F.lit("_OF"))
+    """'chief executive' becomes CHIEF_EXECUTIVE_OF; a role that ends so stays."""
+    s = F.upper(F.regexp_replace(F.regexp_replace(F.trim(c), r"[^A-Za-z0-9_]+", "_"), r"^_+|_+$", ""))
+    return F.when(s.endswith("_OF"), s).otherwise(F.concat(s, F.lit("_OF")))
+
+
+def slug(c: Column) -> Column:
+    """Lower case, words joined by single underscores."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+
+
+def without_ends(rel: Column, source: Column, target: Column) -> Column:
+    """A relation's name without the words of its ends' types, but for what would leave nothing."""
+    words = F.split(slug(rel), "_")
+    kept = F.filter(words, lambda w: ~F.array_contains(F.concat(F.split(slug(source), "_"), F.split(slug(target), "_")), w))
+    kept = F.filter(kept, lambda w: w != "")
+    return F.when(F.size(kept) > 0, F.array_join(kept, "_")).otherwise(slug(rel))

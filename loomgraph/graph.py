@@ -53,3 +53,31 @@ def complete(edges: DataFrame) -> DataFrame:
         if c not in edges.columns:
             edges = edges.withColumn(c, F.lit(False) if c == "inferred" else F.lit(None).cast(kinds.get(c, "string")))
     return edges.select(*EDGE_COLUMNS)
+
+
+#: what nodes and edges may carry besides; properties and metadata are JSON objects as text
+NODE_EXTRAS = {"properties": "string", "metadata": "string", "aliases": "array<string>", "source_documents": "array<string>", "embedding": "array<double>"}
+EDGE_EXTRAS = {"detail": "string", "is_negated": "boolean", "created_at": "string", "updated_at": "string", "metadata": "string"}
+
+
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(k) for c, k in columns.items() if c not in df.columns})
+
+
+def full_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes with all columns they may carry; missing ones are null."""
+    return _with(nodes, {"type": "string", "confidence": "double"} | NODE_EXTRAS).select(*NODE_COLUMNS, *NODE_EXTRAS)
+
+
+def full_edges(edges: DataFrame) -> DataFrame:
+    """Edges with all columns they may carry; missing ones are null."""
+    extra = _with(edges, EDGE_EXTRAS)
+    for c in EDGE_COLUMNS:
+        if c not in extra.columns:
+            extra = extra.withColumn(c, F.lit(False) if c == "inferred" else F.lit(None).cast("double" if c == "confidence" else "string"))
+    return extra.select(*EDGE_COLUMNS, *EDGE_EXTRAS)
+
+
+def meta(key: str, column: str = "metadata"):
+    """A field of the metadata, as text; nested by dots."""
+    return F.get_json_object(column, f"$.{key}")

@@ -151,9 +151,22 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     return Model(names, total[:, : 1 << BITS], total[:, 1 << BITS :])
 
 
-def viterbi(score: np.ndarray, off: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Best labels of the words of each text: the sum of scores less `switch` for every change."""
-    n, k = len(score), score.shape[1]
+def viterbi(score: np.ndarray, off: np.ndarray, switch: float = SWITCH, limit: int = 1 << 24) -> np.ndarray:
+    """Best labels of the words of each text: the sum of scores less `switch` for every change.  `limit` bounds what is held at a time."""
+    k = score.shape[1]
+    segs = np.concatenate([[0], np.cumsum((np.diff(off) + _SEGMENT - 1) // _SEGMENT)])
+    most = max(1, limit // (k * max(k, _SEGMENT)))
+    out, at = [np.zeros(0, np.int64)], 0
+    while at < len(off) - 1:  # whole texts, as many as fit
+        end = max(at + 1, int(np.searchsorted(segs, segs[at] + most, "right")) - 1)
+        out.append(_viterbi(score[off[at] : off[end]], off[at : end + 1] - off[at], np.float32(switch), most))
+        at = end
+    return np.concatenate(out)
+
+
+def _viterbi(score: np.ndarray, off: np.ndarray, switch: np.float32, most: int) -> np.ndarray:
+    """Segments side by side, about `most` at a time."""
+    n, k = score.shape
     if not n:
         return np.zeros(0, np.int64)
     size = np.diff(off)
@@ -162,48 +175,62 @@ def viterbi(score: np.ndarray, off: np.ndarray, switch: float = SWITCH) -> np.nd
     number = T.within(so)
     start = np.repeat(off[:-1], segs) + number * _SEGMENT
     length = np.minimum(_SEGMENT, np.repeat(off[1:], segs) - start)
-    order = np.argsort(-length, kind="stable")
-    start, length, number = start[order], length[order], number[order]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    active = [int(np.searchsorted(-length, -t, "left")) for t in range(int(length[0]))]  # segments longer than t
-    v = np.zeros((len(order), k), np.float32)
-    chained = int(segs.max()) > 1
-    if chained:  # transfer matrices: best score from each entry label to each exit label
-        m = np.full((len(order), k, k), -1e9, np.float32)
-        m[:, np.arange(k), np.arange(k)] = 0
+    last = int(segs.max())
+    with_number = lambda i: so[:-1][segs > i] + i
+    groups, i = [], 0
+    while i < last:  # segments i .. j - 1 of all texts
+        j, total = i + 1, len(with_number(i))
+        while j < last and total + (more := int((segs > j).sum())) <= most:
+            j, total = j + 1, total + more
+        groups.append((i, j))
+        i = j
+
+    def of_group(i, j):
+        own = np.flatnonzero((number >= i) & (number < j)) if (i, j) != (0, last) else np.arange(len(number))
+        own = own[np.argsort(-length[own], kind="stable")]
+        place = np.full(len(number), -1)
+        place[own] = np.arange(len(own))
+        return own, place, [int(np.searchsorted(-length[own], -t, "left")) for t in range(int(length[own[0]]))]  # segments longer than t
+
+    v = np.zeros((len(start), k), np.float32)  # scores before the first word of each segment
+    if last > 1:  # transfer matrices: best score from each entry label to each exit label
+        for i, j in groups:
+            own, place, active = of_group(i, j)
+            m = np.full((len(own), k, k), -1e9, np.float32)
+            m[:, np.arange(k), np.arange(k)] = 0
+            for t, a in enumerate(active):
+                x = m[:a]
+                m[:a] = np.maximum(x, x.max(2, keepdims=True) - switch) + score[start[own[:a]] + t][:, None, :]
+            for p in range(i, min(j, last - 1)):
+                here = with_number(p + 1)
+                x = (v[here - 1][:, :, None] + m[place[here - 1]]).max(1)
+                v[here] = x - x.max(1, keepdims=True)
+    kind = np.int16 if k < 1 << 15 else np.int32
+    labels = np.arange(k, dtype=kind)
+    out, leave = np.empty(n, kind), np.full(len(start), -1, np.int64)
+    for i, j in reversed(groups):
+        own, place, active = of_group(i, j)
+        x, first = v[own], np.concatenate([[0], np.cumsum(length[own])])
+        back = np.zeros((first[-1], k), kind)
         for t, a in enumerate(active):
-            x = m[:a]
-            m[:a] = np.maximum(x, x.max(2, keepdims=True) - np.float32(switch)) + score[start[:a] + t][:, None, :]
-        for i in range(1, int(segs.max())):
-            here = place[so[:-1][segs > i] + i]
-            before = place[so[:-1][segs > i] + i - 1]
-            x = (v[before][:, :, None] + m[before]).max(1)
-            v[here] = x - x.max(1, keepdims=True)
-    back = np.zeros((n, k), np.int8)
-    own = np.arange(k, dtype=np.int8)
-    for t, a in enumerate(active):
-        x = v[:a]
-        best = x.argmax(1)
-        other = x.max(1, keepdims=True) - np.float32(switch)
-        back[start[:a] + t] = np.where(x >= other, own, best[:, None])
-        v[:a] = np.maximum(x, other) + score[start[:a] + t]
-    leave = v.argmax(1).astype(np.int8)
-    if chained:
-        entry = np.tile(own, (len(order), 1))  # for each label at the end of a segment, the label before its first word
+            y = x[:a]
+            best, other = y.argmax(1), y.max(1, keepdims=True) - switch
+            back[first[:a] + t] = np.where(y >= other, labels, best[:, None].astype(kind))
+            x[:a] = np.maximum(y, other) + score[start[own[:a]] + t]
+        leave[own] = np.where(leave[own] < 0, x.argmax(1), leave[own])  # but for those that a segment follows
+        if last > 1:
+            entry = np.tile(labels, (len(own), 1))  # for each label at the end of a segment, the label before its first word
+            for t in range(len(active) - 1, -1, -1):
+                a = active[t]
+                entry[:a] = np.take_along_axis(back[first[:a] + t], entry[:a].astype(np.int64), 1)
+            for p in range(j - 1, max(i, 1) - 1, -1):
+                here = with_number(p)
+                leave[here - 1] = entry[place[here], leave[here]]
+        state = leave[own]
         for t in range(len(active) - 1, -1, -1):
             a = active[t]
-            entry[:a] = np.take_along_axis(back[start[:a] + t], entry[:a].astype(np.int64), 1)
-        for i in range(int(segs.max()) - 1, 0, -1):
-            here = place[so[:-1][segs > i] + i]
-            leave[place[so[:-1][segs > i] + i - 1]] = entry[here, leave[here]]
-    out = np.empty(n, np.int8)
-    state = leave
-    for t in range(len(active) - 1, -1, -1):
-        a = active[t]
-        at = start[:a] + t
-        out[at] = state[:a]
-        state[:a] = back[at, state[:a]]
+            out[start[own[:a]] + t] = state[:a]
+            state[:a] = back[first[:a] + t, state[:a]]
     return out.astype(np.int64)
 
 
@@ -263,7 +290,11 @@ def languages(docs: DataFrame, training_rows: int = TRAINING_ROWS, switch: float
 
 
 def keep_known(docs: DataFrame, least: float = MIN_SHARE, training_rows: int = TRAINING_ROWS, switch: float = SWITCH) -> DataFrame:
-    """The rows of which at least the share `least` of the words with letters are in known languages; texts without letters go."""
+    """The rows of which at least the share `least` of the words with letters are in known languages; null and empty texts and texts without letters go.
+
+    Rows are judged one by one, whatever their doc_id (null too), so rows that repeat stay or go together.  Without any known language no
+    row stays; an empty table gives an empty one.  Other columns pass through.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, training_rows))
 
     def run(batches):

@@ -11,18 +11,22 @@ that one goes too.
 3. Of a set of size n only the n - ceil(t n) + 1 rarest words can be the first
    that a pair shares.  Words that occur once in the corpus match nothing.  The
    rest meet by word; length, position and a 64-bit signature of the words
-   bound the overlap before a pair is taken.
-4. The words of the lines in pairs are read again and the Jaccard index is
-   computed exactly: for the earliest candidate of each line first, then for
-   all others of the lines whose earliest is no match.  A bitmap tells which
-   documents to read; it only saves work, the join after it decides.
+   bound the overlap before a pair is taken.  The lines of a word are tried as
+   partners from the earliest on, and a line that has found LISTED of them is
+   done: a group of copies takes work in proportion to its size.
+4. Candidates are narrowed by sketches of 512 bits, in which words that one line
+   has and the other lacks show as bits that differ.  Then the words of the lines
+   in pairs are read again and the Jaccard index is computed exactly: for the earliest candidate of each line first, then for the
+   others listed, and where none of them is a match and there may be more, for
+   all later ones, which are searched for these lines alone.  Bitmaps tell which
+   documents and words to read; they only save work, the joins after them decide.
 
 Defined results
 * null doc_id: left as it is.  Null or empty text and lines of white space: never matched, never removed.
 * very long texts and lines: whole.
 * ties: the earliest of the matching lines is named.
-* rows that repeat a doc_id: one document given several times; a line counts once per doc_id and number, and
-  goes from all the rows.
+* rows that repeat a doc_id and its text are one document; rows that repeat a doc_id with another text are documents of
+  their own, in the order of the hashes of their texts.
 * a document that loses all its lines goes; one that had none stays.
 * empty table: no rows.  Other columns pass through, whatever their names.
 """
@@ -30,8 +34,9 @@ Defined results
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -39,7 +44,9 @@ from .ngram_join import need
 
 THRESHOLD = 0.85
 BUCKET_BITS = 23
+LISTED = 8  # candidates of a line that are looked at before its other ones are searched for
 _PART_BITS = 20
+_LINE_BITS = 40  # of a line number; above them is the number of the text among those of its doc_id
 
 
 def _counts(bits: int):
@@ -122,7 +129,7 @@ def _take(values: np.ndarray, off: np.ndarray, order: np.ndarray) -> np.ndarray:
     return values[np.repeat(off[:-1][order] - o[:-1], n) + np.arange(o[-1])]
 
 
-_FIELDS = (("a", np.uint64), ("sig", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("m", np.int32), ("tok", np.uint64), ("pos", np.int32))
+_FIELDS = (("a", np.uint64), ("sig", np.uint64), ("doc", np.int64), ("line", np.int64), ("n", np.int32), ("m", np.int32), ("tok", np.uint64), ("pos", np.int32))
 
 
 def _lines(threshold: float, blocks: int, bits: int, levels):
@@ -132,8 +139,9 @@ def _lines(threshold: float, blocks: int, bits: int, levels):
         level = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
             for piece in T.slices(batch):
-                ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, number_from = (piece.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc_id", "variant"))
                 lines, row, number = T.split_lines(piece.column("text"))
+                number = number + (number_from[row] << _LINE_BITS)
                 h, lv, off = _sets(lines, level, bits)
                 n = np.diff(off)
                 a, sig = T.seg_sum(T.mix(h + np.uint64(1)), off), _bits(h, off)
@@ -192,11 +200,14 @@ def _fold(table: pa.Table) -> pa.Table:
     )
 
 
-_POST = (("tok", np.uint64), ("doc", np.int64), ("line", np.int32), ("n", np.int32), ("pos", np.int32), ("sig", np.int64))
+_POST = (("tok", np.uint64), ("doc", np.int64), ("line", np.int64), ("n", np.int32), ("pos", np.int32), ("sig", np.uint64))
 
 
-def _postings(blocks: int):
+def _postings(blocks: int, known=None):
+    """The prefix words of lines by block; with a bitmap only words that it knows."""
+
     def run(batches):
+        some = None if known is None else np.unpackbits(np.frombuffer(known.value, np.uint8)).astype(bool)
         for batch in batches:
             if not len(batch):
                 continue
@@ -209,6 +220,10 @@ def _postings(blocks: int):
             cols = {"tok": tok, "pos": p.values.to_numpy()[po[0] : po[-1]]}
             for k, src in (("doc", "doc_id"), ("line", "line_no"), ("n", "n"), ("sig", "sig")):
                 cols[k] = np.repeat(batch.column(src).to_numpy(), m)
+            if some is not None:
+                hit = some[(T.mix(tok) >> np.uint64(64 - (len(some).bit_length() - 1))).astype(np.int64)]
+                cols = {k: v[hit] for k, v in cols.items()}
+                tok = cols["tok"]
             block = (T.mix(tok) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cut = np.searchsorted(block[order], np.arange(blocks + 1))
@@ -223,40 +238,94 @@ def _postings(blocks: int):
     return run
 
 
-def _candidates(threshold: float):
-    """Pairs of sets that share a prefix word and whose sizes and positions leave room for the overlap they need."""
+def _may_match(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Do sizes, positions of the word and signatures leave room for the overlap that the pairs need?"""
+    n, pos, sig = c["n"], c["pos"], c["sig"]
+    least = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9)
+    ok = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
+    at = np.flatnonzero(ok)
+    i, j = i[at], j[at]
+    # words that one set has and the other lacks: at least the bits in which the signatures differ
+    ok[at] = np.bitwise_count(sig[i] ^ sig[j]) <= n[i] + n[j] - 2 * least[at]
+    return ok
+
+
+def _block(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(columns, first, rank): postings by word and line, where the run of each one's word begins, and its place there."""
+    c = {k: T.from_planes(table.column(k), t) for k, t in _POST}
+    order = np.lexsort((c["line"], c["doc"], c["tok"]))
+    c = {k: v[order] for k, v in c.items()}
+    off = T.runs(c["tok"])
+    first = np.repeat(off[:-1], np.diff(off))
+    return c, first, np.arange(len(first)) - first
+
+
+_PAIRS = "doc_a bigint, line_a bigint, doc_b bigint, line_b bigint"
+
+
+def _earliest(threshold: float, listed: int = LISTED, width: int = 4_000_000):
+    """The earliest candidates of each line among the lines of the block's words; `last` marks the last one of a line that may have more."""
 
     def run(table: pa.Table) -> pa.Table:
-        c = {k: T.from_planes(table.column(k), t) for k, t in _POST}
-        order = np.lexsort((c["n"], c["tok"]))
-        tok, doc, line, n, pos, sig = (c[k][order] for k, _ in _POST)
-        run_id = np.cumsum(np.concatenate([[0], tok[1:] != tok[:-1]])).astype(np.int64)
-        key = (run_id << 32) | n
-        end = np.searchsorted(key, (run_id << 32) | np.floor(n / threshold + 1e-9).astype(np.int64), "right")
-        later = end - np.arange(len(n)) - 1
-        total = np.concatenate([[0], np.cumsum(later)])
-        found, at = [], 0
-        # lines of the block by number, so that a pair is one integer
-        ident, code = np.unique(np.stack([doc, line.astype(np.int64)], 1), axis=0, return_inverse=True)
-        code = code.reshape(-1).astype(np.int64)
-        while at < len(n):
-            stop = max(at + 1, int(np.searchsorted(total, total[at] + 4_000_000, "right")) - 1)
-            k = later[at:stop]
-            if k.sum():
-                i = np.repeat(np.arange(at, stop), k)
-                o = np.concatenate([[0], np.cumsum(k)])
-                j = i + 1 + (np.arange(o[-1]) - np.repeat(o[:-1], k))
-                least = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9)
-                ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (code[i] != code[j])
-                i, j, least = i[ok], j[ok], least[ok]
-                # words that one set has and the other lacks: at least the bits in which the signatures differ
-                ok = np.bitwise_count(sig[i] ^ sig[j]) <= n[i] + n[j] - 2 * least
-                x, y = code[i[ok]], code[j[ok]]
-                found.append(np.unique((np.minimum(x, y) << 32) | np.maximum(x, y)))
-            at = stop
-        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        x, y = ident[pair >> 32], ident[pair & 0xFFFFFFFF]  # ident is sorted by (doc, line): x is the earlier
-        return pa.table([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), pa.array(y[:, 0]), pa.array(y[:, 1].astype(np.int32))], names=["doc_a", "line_a", "doc_b", "line_b"])
+        c, first, rank = _block(table)
+        count = np.zeros(len(first), np.int64)
+        todo, at, step = np.flatnonzero(rank > 0), 0, 1
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(todo):  # places at .. at + step of each run, for all lines further on that have found too few
+            k = np.minimum(at + step, rank[todo]) - at
+            total = np.concatenate([[0], np.cumsum(k)])
+            s = 0
+            while s < len(todo):
+                e = max(s + 1, int(np.searchsorted(total, total[s] + width, "right")) - 1)
+                o = total[s : e + 1] - total[s]
+                i = np.repeat(todo[s:e], k[s:e])
+                j = first[i] + at + T.within(o)
+                ok = _may_match(c, i, j, threshold)
+                nth = np.cumsum(ok) - np.repeat(np.concatenate([[0], np.cumsum(ok)])[o[:-1]], k[s:e])  # of the line's hits in this step
+                ok &= count[i] + nth <= listed
+                found.append((i[ok], j[ok]))
+                count += np.bincount(i[ok], minlength=len(count))
+                s = e
+            todo = todo[(count[todo] < listed) & (rank[todo] > at + step)]
+            at, step = at + step, min(2 * step, 256)
+        i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        rows = pd.DataFrame({"doc_a": c["doc"][j], "line_a": c["line"][j], "doc_b": c["doc"][i], "line_b": c["line"][i], "i": i})
+        rows["full"] = count[i] >= listed
+        rows = rows.sort_values(["doc_b", "line_b", "doc_a", "line_a"])
+        # a word's list that is full may go on after its last candidate
+        last = rows[rows["full"]].groupby("i").tail(1)[["doc_a", "line_a", "doc_b", "line_b"]].drop_duplicates(["doc_b", "line_b"]).assign(last=True)
+        rows = rows.drop_duplicates(["doc_a", "line_a", "doc_b", "line_b"])[["doc_a", "line_a", "doc_b", "line_b"]].merge(last, "left", ["doc_a", "line_a", "doc_b", "line_b"])
+        rows["last"] = rows["last"].notna()
+        return pa.Table.from_pandas(rows, preserve_index=False)
+
+    return run
+
+
+def _later(threshold: float, width: int = 4_000_000):
+    """Of the open lines of the block all candidates after the one that was tried."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        c, first, rank = _block(left)
+        names = ["doc_a", "line_a", "doc_b", "line_b"]
+        if not right.num_rows or not len(first):
+            return pa.table([pa.array([], pa.int64())] * 4, names=names)
+        open_ = right.to_pandas().drop_duplicates(["doc_b", "line_b"]).set_index(["doc_b", "line_b"])
+        at = open_.index.get_indexer(pd.MultiIndex.from_arrays([c["doc"], c["line"]]))
+        tried = [open_[k].to_numpy() for k in ("doc_a", "line_a")]
+        todo = np.flatnonzero((at >= 0) & (rank > 0))
+        found, s, total = [], 0, np.concatenate([[0], np.cumsum(rank[todo])])
+        while s < len(todo):
+            e = max(s + 1, int(np.searchsorted(total, total[s] + width, "right")) - 1)
+            i = np.repeat(todo[s:e], rank[todo[s:e]])
+            j = first[i] + T.within(total[s : e + 1] - total[s])
+            da, la = (x[at[i]] for x in tried)
+            ok = (c["doc"][j] > da) | ((c["doc"][j] == da) & (c["line"][j] > la))
+            i, j = i[ok], j[ok]
+            ok = _may_match(c, i, j, threshold)
+            found.append(np.stack([c[k][x[ok]] for x in (j, i) for k in ("doc", "line")], 1))
+            s = e
+        pair = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+        return pa.table([pa.array(pair[:, k]) for k in range(4)], names=names)
 
     return run
 
@@ -265,14 +334,12 @@ def _key(doc: np.ndarray, line) -> np.ndarray:
     return T.mix(T.mix(doc.astype(np.int64).view(np.uint64)) + np.asarray(line).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _bitmap(lines: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the hashes of (doc_id, 0) for documents and (doc_id, line + 1) for lines."""
+def _bitmap(keys: DataFrame, bits: int, hashes) -> np.ndarray:
+    """Bits of `hashes(batch)` of all batches."""
 
     def run(batches):
         for b in batches:
-            doc, line = b.column("doc_id").to_numpy(), b.column("line_no").to_numpy().astype(np.int64)
-            k = np.concatenate([_key(doc, np.zeros(len(doc), np.int64)), _key(doc, line + 1)])
-            at = np.unique(k >> np.uint64(64 - bits)).astype(np.uint32)
+            at = np.unique(hashes(b) >> np.uint64(64 - bits)).astype(np.uint32)
             part = at >> 16
             for p in np.unique(part):
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([T.planes((at[part == p] & 0xFFFF).astype(np.uint16))], pa.binary())], ["p", "at"])
@@ -283,13 +350,60 @@ def _bitmap(lines: DataFrame, bits: int) -> np.ndarray:
         return pa.table([pa.array([table.column("p")[0].as_py()], pa.int32()), pa.array([np.packbits(out).tobytes()], pa.binary())], names=["p", "bits"])
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in lines.mapInArrow(run, "p int, at binary").groupBy("p").applyInArrow(fill, "p int, bits binary").toLocalIterator():
+    for r in keys.mapInArrow(run, "p int, at binary").groupBy("p").applyInArrow(fill, "p int, bits binary").toLocalIterator():
         out[r["p"] << 13 : (r["p"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _reread(bits: int, bitmap):
-    """Word sets of the lines that the bitmap knows."""
+def _width(count: int) -> int:
+    """Bits of a bitmap's places for so many keys, at most 2^27 (16 MB)."""
+    bits = 16
+    while (1 << bits) < 16 * count and bits < 27:
+        bits += 1
+    return bits
+
+
+def _places(b) -> np.ndarray:
+    """Hashes of (doc_id, 0) for documents and (doc_id, line + 1) for lines."""
+    doc, line = b.column("doc_id").to_numpy(), b.column("line_no").to_numpy().astype(np.int64)
+    return np.concatenate([_key(doc, np.zeros(len(doc), np.int64)), _key(doc, line + 1)])
+
+
+def _known_lines(known):
+    """Rows whose line the bitmap knows."""
+
+    def run(batches):
+        some = np.unpackbits(np.frombuffer(known.value, np.uint8)).astype(bool)
+        shift = np.uint64(64 - (len(some).bit_length() - 1))
+        for b in batches:
+            yield b.filter(pa.array(some[(_key(b.column("doc_id").to_numpy(), b.column("line_no").to_numpy() + 1) >> shift).astype(np.int64)]))
+
+    return run
+
+
+def _words(b) -> np.ndarray:
+    return T.mix(b.column("tok").to_numpy().view(np.uint64))
+
+
+_SKETCH = [f"s{k}" for k in range(8)]
+
+
+def _sketch(h: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """512 bits of each set, a bit for each word, in eight integers."""
+    bit = T.mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(55)
+    one, part = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
+    full = off[1:] > off[:-1]
+    out = []
+    for k in range(8):
+        x = np.zeros(len(off) - 1, np.uint64)
+        if full.any():
+            x[full] = np.bitwise_or.reduceat(np.where(part == np.uint64(k), one, np.uint64(0)), off[:-1][full])
+        out.append(x.view(np.int64))
+    return out
+
+
+def _reread(bits: int, bitmap, sketch: bool = False):
+    """Word sets of the lines that the bitmap knows, or their sizes and sketches."""
 
     def run(batches):
         known = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
@@ -300,28 +414,49 @@ def _reread(bits: int, bitmap):
             if not hit.any():
                 continue
             for piece in T.slices(batch.filter(pa.array(hit))):
-                ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, number_from = (piece.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc_id", "variant"))
                 lines, row, number = T.split_lines(piece.column("text"))
+                number = number + (number_from[row] << _LINE_BITS)
                 hit = known[(_key(ids[row], number + 1) >> shift).astype(np.int64)]
                 if not hit.any():
                     continue
                 h, _, off = _sets(lines.filter(pa.array(hit)))
+                if sketch:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[row][hit]), pa.array(number[hit]), pa.array(np.diff(off).astype(np.int32)), *map(pa.array, _sketch(h, off))], ["doc_id", "line_no", "n", *_SKETCH]
+                    )
+                    continue
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row][hit]), pa.array(number[hit].astype(np.int32)), T.as_list(h.view(np.int64), off, pa.int64())],
+                    [pa.array(ids[row][hit]), pa.array(number[hit]), T.as_list(h.view(np.int64), off, pa.int64())],
                     ["doc_id", "line_no", "words"],
                 )
 
     return run
 
 
+def _read_again(docs: DataFrame, pairs: DataFrame, sketch: bool) -> DataFrame:
+    """The lines of the pairs, with their words or with their sketches."""
+    sides = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line_no")).union(pairs.select("doc_b", "line_b"))
+    mask = _width(4 * pairs.count())
+    known = docs.sparkSession.sparkContext.broadcast(_bitmap(sides, mask, _places).tobytes())
+    more = "n int, " + ", ".join(f"{k} bigint" for k in _SKETCH) if sketch else "words array<bigint>"
+    return docs.mapInArrow(_reread(mask, known, sketch), f"doc_id bigint, line_no bigint, {more}")
+
+
+def _narrowed(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sketches leave room for the overlap they need."""
+    lines = _read_again(docs, pairs, True)
+    a = lines.toDF("doc_a", "line_a", "n_a", *[f"{k}_a" for k in _SKETCH])
+    b = lines.toDF("doc_b", "line_b", "n_b", *[f"{k}_b" for k in _SKETCH])
+    both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
+    differ = sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in _SKETCH), F.lit(0))
+    size = F.col("n_a") + F.col("n_b")
+    return both.where(differ <= size - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * size - 1e-9)).select("doc_a", "line_a", "doc_b", "line_b")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(head_doc, head_line, e): of each later line the earliest line of its pairs that matches it, by the Jaccard index of the words themselves."""
-    sides = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line_no")).union(pairs.select("doc_b", "line_b"))
-    mask, count = 16, 2 * pairs.count()
-    while (1 << mask) < 32 * count and mask < 27:
-        mask += 1
-    known = docs.sparkSession.sparkContext.broadcast(_bitmap(sides, mask).tobytes())
-    sets = docs.mapInArrow(_reread(mask, known), "doc_id bigint, line_no int, words array<bigint>")
+    sets = _read_again(docs, pairs, False)
     a = sets.select(F.col("doc_id").alias("doc_a"), F.col("line_no").alias("line_a"), F.col("words").alias("words_a"))
     b = sets.select(F.col("doc_id").alias("doc_b"), F.col("line_no").alias("line_b"), F.col("words").alias("words_b"))
     both = pairs.join(a, ["doc_a", "line_a"]).join(b, ["doc_b", "line_b"])
@@ -330,46 +465,104 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return good.groupBy(F.col("doc_b").alias("head_doc"), F.col("line_b").alias("head_line")).agg(F.min(F.struct("doc_a", "line_a")).alias("e"))
 
 
-def matching_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
-    """(doc_id, line_no, kept_doc_id, kept_line_no): every line that an earlier line matches, and the earliest such line."""
-    docs = T.documents(docs, "doc_id", "text")
+def variants(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` (doc_id, text) with the number of the text among those of its doc_id, 0 where there is one; and (doc_id, h, variant) where there are several."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    several = keyed.groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select("doc_id")
+    texts = T.materialize(keyed.join(several, "doc_id", "left_semi").distinct())
+    texts = texts.withColumn("variant", (F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).cast("bigint"))
+    if not texts.limit(1).count():
+        return docs.withColumn("variant", F.lit(0).cast("bigint")), texts
+    both = docs.withColumn("h", F.xxhash64("text")).join(texts, ["doc_id", "h"], "left")
+    return both.select("doc_id", "text", F.coalesce("variant", F.lit(0)).alias("variant")), texts
+
+
+def _matches(docs: DataFrame, threshold: float, bits: int) -> DataFrame:
+    """(doc_id, line, kept_doc_id, kept_line) of `variants`; lines are numbered with them."""
     sc = docs.sparkSession.sparkContext
     count = docs.count()
     blocks = 16
-    while blocks * 8000 < count and blocks < 1 << 18:
+    while blocks * 8000 < count:
         blocks *= 2
     levels = sc.broadcast(rarity(docs, bits).tobytes())
     blobs = ", ".join(f"{k} binary" for k, _ in _FIELDS)
     lines = docs.mapInArrow(_lines(threshold, blocks, bits, levels), f"p int, {blobs}")
     lines = T.materialize(
-        lines.groupBy("p").applyInArrow(_fold, "doc_id bigint, line_no int, head_doc bigint, head_line int, n int, sig bigint, tok array<bigint>, pos array<int>")
+        lines.groupBy("p").applyInArrow(_fold, "doc_id bigint, line_no bigint, head_doc bigint, head_line bigint, n int, sig bigint, tok array<bigint>, pos array<int>")
     )
-    post = lines.where(F.size("tok") > 0).select("doc_id", "line_no", "n", "sig", "tok", "pos").mapInArrow(_postings(blocks), "p int, " + ", ".join(f"{k} binary" for k, _ in _POST))
-    cand = post.groupBy("p").applyInArrow(_candidates(threshold), "doc_a bigint, line_a int, doc_b bigint, line_b int")
-    # the earliest candidate of each line is nearly always a match; the others are looked at only where it is none
-    lists = T.materialize(cand.groupBy("doc_b", "line_b").agg(F.array_sort(F.collect_set(F.struct("doc_a", "line_a"))).alias("c")))
-    guess = lists.select(F.col("c")[0]["doc_a"].alias("doc_a"), F.col("c")[0]["line_a"].alias("line_a"), "doc_b", "line_b")
+    heads = lines.where(F.size("tok") > 0).select("doc_id", "line_no", "n", "sig", "tok", "pos")
+    post_schema = "p int, " + ", ".join(f"{k} binary" for k, _ in _POST)
+    found = heads.mapInArrow(_postings(blocks), post_schema).groupBy("p").applyInArrow(_earliest(threshold, LISTED), f"{_PAIRS}, last boolean")
+    pair = F.struct("doc_a", "line_a")
+    lists = found.groupBy("doc_b", "line_b").agg(F.array_sort(F.collect_set(pair)).alias("c"), F.min(F.when(F.col("last"), pair)).alias("cut"))
+    # in the order of all candidates as far as the first list that may go on
+    lists = T.materialize(lists.withColumn("c", F.when(F.col("cut").isNull(), F.col("c")).otherwise(F.filter("c", lambda x: x <= F.col("cut")))))
+    every = T.materialize(lists.select("doc_b", "line_b", F.explode("c").alias("x")).select("x.doc_a", "x.line_a", "doc_b", "line_b"))
+    good = _narrowed(docs, every, threshold).groupBy("doc_b", "line_b").agg(F.array_sort(F.collect_set(pair)).alias("c"))
+    lists = T.materialize(lists.select("doc_b", "line_b", "cut").join(good, ["doc_b", "line_b"], "left").where("c IS NOT NULL OR cut IS NOT NULL"))
+    guess = lists.where("c IS NOT NULL").select(F.col("c")[0]["doc_a"].alias("doc_a"), F.col("c")[0]["line_a"].alias("line_a"), "doc_b", "line_b")
     first = T.materialize(_verified(docs, guess, threshold))
-    rest = lists.where(F.size("c") > 1).join(first, (F.col("doc_b") == F.col("head_doc")) & (F.col("line_b") == F.col("head_line")), "left_anti")
-    rest = T.materialize(rest.select("doc_b", "line_b", F.explode(F.slice("c", 2, F.size("c"))).alias("x")).select("x.doc_a", "x.line_a", "doc_b", "line_b"))
+    same = (F.col("doc_b") == F.col("head_doc")) & (F.col("line_b") == F.col("head_line"))
+    # the earliest candidate is nearly always a match; where it is none, the others are looked at
+    left = T.materialize(lists.where((F.size("c") > 1) | F.col("cut").isNotNull()).join(first, same, "left_anti"))
+    rest = left.where(F.size("c") > 1).select("doc_b", "line_b", F.explode(F.slice("c", 2, F.size("c"))).alias("x")).select("x.doc_a", "x.line_a", "doc_b", "line_b")
     if rest.limit(1).count():
-        first = first.unionByName(_verified(docs, rest, threshold))
-    out = lines.select("doc_id", "line_no", "head_doc", "head_line").join(first, ["head_doc", "head_line"], "left")
-    head = (F.col("doc_id") == F.col("head_doc")) & (F.col("line_no") == F.col("head_line"))
-    out = out.where(~head | F.col("e").isNotNull())
+        first = T.materialize(first.unionByName(_verified(docs, T.materialize(rest), threshold)))
+    open_ = T.materialize(left.where("cut IS NOT NULL").join(first, same, "left_anti").select("cut.doc_a", "cut.line_a", "doc_b", "line_b"))
+    n_open = open_.count()
+    if n_open:
+        lines_known = sc.broadcast(_bitmap(open_.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no")), _width(2 * n_open), _places).tobytes())
+        own = heads.mapInArrow(_known_lines(lines_known), heads.schema).select("doc_id", "line_no", "tok")
+        own = own.join(open_.withColumnsRenamed({"doc_b": "doc_id", "line_b": "line_no"}), ["doc_id", "line_no"])
+        own = T.materialize(own.select("doc_a", "line_a", F.col("doc_id").alias("doc_b"), F.col("line_no").alias("line_b"), F.explode("tok").alias("tok")))
+        known = sc.broadcast(_bitmap(own.select("tok"), _width(8 * n_open), _words).tobytes())
+
+        def by_block(batches):
+            for b in batches:
+                p = (_words(b) % np.uint64(blocks)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(p), *b.columns[:4]], ["p", "doc_a", "line_a", "doc_b", "line_b"])
+
+        asked = own.mapInArrow(by_block, f"p int, {_PAIRS}").distinct().groupBy("p")
+        more = heads.mapInArrow(_postings(blocks, known), post_schema).groupBy("p").cogroup(asked).applyInArrow(_later(threshold), _PAIRS)
+        more = T.materialize(_narrowed(docs, T.materialize(more.distinct()), threshold))
+        first = T.materialize(first.unionByName(_verified(docs, more, threshold)))
+    is_head = (F.col("doc_id") == F.col("head_doc")) & (F.col("line_no") == F.col("head_line"))
+    copies = lines.where(~is_head).select("doc_id", "line_no", "head_doc", "head_line").join(first, ["head_doc", "head_line"], "left")
+    out = copies.select("doc_id", "line_no", "head_doc", "head_line", "e").unionByName(
+        first.select(F.col("head_doc").alias("doc_id"), F.col("head_line").alias("line_no"), "head_doc", "head_line", "e")
+    )
     return out.select(
-        "doc_id", F.col("line_no").cast("bigint").alias("line_no"),
-        F.coalesce("e.doc_a", "head_doc").alias("kept_doc_id"), F.coalesce("e.line_a", "head_line").cast("bigint").alias("kept_line_no"),
+        "doc_id", F.col("line_no").alias("line"), F.coalesce("e.doc_a", "head_doc").alias("kept_doc_id"), F.coalesce("e.line_a", "head_line").alias("kept_line")
     )
 
 
-def drop_matching_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without the lines that an earlier line matches, n_chars brought up to date; a document that loses all its lines goes."""
-    gone = matching_lines(docs, threshold).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("bigint")))
-    both = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == F.col("__id"), "left")
-    both = both.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    both = both.where(F.col("__gone").isNull() | F.col("text").rlike(r"\S"))
+_NUMBER = (1 << _LINE_BITS) - 1
+
+
+def matching_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
+    """(doc_id, line_no, kept_doc_id, kept_line_no): every line that an earlier line matches, and the earliest such line."""
+    out = _matches(variants(T.documents(docs, "doc_id", "text"))[0], threshold, bits)
+    number = lambda c: F.col(c).bitwiseAND(F.lit(_NUMBER))
+    return out.select("doc_id", number("line").alias("line_no"), "kept_doc_id", number("kept_line").alias("kept_line_no"))
+
+
+def drop_matching_lines(docs: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
+    """`docs` without the lines that an earlier line matches, n_chars brought up to date; a document that loses all its lines goes.
+
+    Rows without a doc_id, text or words stay as they are; an empty table gives an empty one.  Columns are those of `docs`, whatever
+    their names.
+    """
+    own, texts = variants(T.documents(docs, "doc_id", "text"))
+    gone = _matches(own, threshold, bits).select("doc_id", F.shiftright("line", _LINE_BITS).alias("variant"), F.col("line").bitwiseAND(F.lit(_NUMBER)).cast("int").alias("line"))
+    gone = gone.groupBy("doc_id", "variant").agg(F.collect_set("line").alias("gone")).join(texts, ["doc_id", "variant"], "left")
+    i, h, g = (T.fresh(docs, k) for k in ("id", "h", "gone"))
+    gone = gone.select(F.col("doc_id").alias(i), F.col("h").alias(h), F.col("gone").alias(g))
+    same = (docs["doc_id"] == F.col(i)) & (F.col(h).isNull() | (F.xxhash64(docs["text"]) == F.col(h)))
+    lines = F.split(F.col("text"), "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(g)), lambda k: F.get(lines, k))
+    both = docs.join(gone.hint("shuffle_hash"), same, "left")
+    both = both.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    both = both.where(F.col(g).isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return both.select(*docs.columns)
+        both = both.withColumn("n_chars", F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,16 +13,32 @@ def _any(j: Column, *keys: str) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(j, f"$.{k}")), F.lit("")) for k in keys])
 
 
+def salvage(json: Column) -> Column:
+    """The list of objects in what a model wrote: a list within other text, one object alone (also below a key), Python's quotes and words, a list that breaks off in the middle."""
+    fence = F.regexp_replace(json, r"```(?:json)?", "")
+    listed = F.regexp_extract(fence, r"(?s)(\[.*\])", 1)
+    single = F.regexp_extract(fence, r"(?s)(\{.*\})", 1)
+    cut = F.regexp_extract(fence, r"(?s)(\[\s*\{.*\})", 1)
+    python = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?<=[\[{,:\s])'|'(?=\s*[\]},:])", '"'), r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    good = lambda c: F.try_parse_json(c).isNotNull() & (c != "")
+    one = lambda c: F.concat(F.lit("["), c, F.lit("]"))
+    tries = [listed, python(listed), one(single), one(python(single)), one(F.regexp_replace(cut, r"^\[", "")), F.concat(cut, F.lit("]"))]
+    out = F.when(good(tries[0]), tries[0])
+    for t in tries[1:]:
+        out = out.when(good(t), t)
+    return out.otherwise(F.lit("[]"))
+
+
 def read_mentions(rows: DataFrame) -> DataFrame:
     """(doc_id, name, type) of rows (doc_id, json): a list of objects with any of the usual keys; what has no name goes, a bad list gives nothing."""
-    lists = F.from_json(F.regexp_extract("json", r"(?s)(\[.*\])", 1), "array<string>")
+    lists = F.from_json(salvage(F.col("json")), "array<string>")
     m = rows.select("doc_id", F.explode(lists).alias("j"))
     return m.select("doc_id", _any(F.col("j"), "name", "entity", "text", "mention").alias("name"), _any(F.col("j"), "type", "label", "entity_type").alias("type")).where("name IS NOT NULL").distinct()
 
 
 def read_triples(rows: DataFrame) -> DataFrame:
     """(doc_id, s, r, o, confidence, is_negated) of rows (doc_id, json)."""
-    lists = F.from_json(F.regexp_extract("json", r"(?s)(\[.*\])", 1), "array<string>")
+    lists = F.from_json(salvage(F.col("json")), "array<string>")
     t = rows.select("doc_id", F.explode(lists).alias("j"))
     j = F.col("j")
     return t.select(
@@ -83,16 +99,36 @@ def smallest_window(text: str, names: list[str], most: int = 280) -> str:
     return text[best[0] : best[1]][:most] if best else ""
 
 
-def ontology_scores(types: DataFrame, relations: DataFrame) -> DataFrame:
-    """(metric, score) of an ontology: described types, relations with known ends, types in use, distinct names, relations per type within 0.5 and 4."""
-    t = types.agg(F.count("*").alias("n"), F.avg(F.when(F.length(F.trim("description")) > 0, 1.0).otherwise(0.0)).alias("described"), (F.countDistinct(F.lower("name")) / F.count("*")).alias("distinct"))
-    ends = relations.select(F.col("src").alias("name")).union(relations.select("dst")).distinct()
-    used = types.join(ends, "name", "left_semi").agg(F.count("*").alias("used"))
-    known = relations.join(types.select(F.col("name").alias("src")).distinct(), "src", "left_semi").join(types.select(F.col("name").alias("dst")).distinct(), "dst", "left_semi").agg(F.count("*").alias("known"))
-    r = relations.agg(F.count("*").alias("m"))
-    one = t.crossJoin(used).crossJoin(known).crossJoin(r)
-    n, m = F.greatest(F.lit(1), "n"), F.greatest(F.lit(1), "m")
-    rate = F.col("m") / n
-    fit = F.when(rate < 0.5, rate / 0.5).when(rate > 4, 4 / rate).otherwise(1.0)
-    scores = {"completeness": F.col("described"), "consistency": F.col("known") / m, "reusability": F.col("used") / n, "distinctness": F.col("distinct"), "suitability": fit}
-    return one.select(F.explode(F.create_map(*[x for k, v in scores.items() for x in (F.lit(k), F.round(F.coalesce(v, F.lit(0.0)), 6))])).alias("metric", "score"))
+def windows_of(rows: DataFrame, most: int = 280) -> DataFrame:
+    """Rows (text, names ARRAY) with `window`: smallest_window of each, by an Arrow function."""
+
+    @F.pandas_udf("string")
+    def run(text: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([smallest_window(t, [] if n is None else list(n), most) for t, n in zip(text, names)])
+
+    return rows.withColumn("window", run("text", "names"))
+
+
+def read_events(rows: DataFrame, types: DataFrame) -> DataFrame:
+    """Events (id, event_type, participants, ts, location, evidence, confidence, doc_id) of rows (doc_id, json): lists of objects with any of the usual keys.
+
+    Types are matched in any case and spelling to types(event_type); others go, and so do repeated ids; a participant may be a name or a list of names.
+    """
+    from .events import event_id
+
+    j = F.col("j")
+    e = rows.select("doc_id", F.explode(F.from_json(salvage(F.col("json")), "array<string>")).alias("j"))
+    who = F.coalesce(F.get_json_object(j, "$.participants"), F.get_json_object(j, "$.arguments"), F.get_json_object(j, "$.roles"))
+    names = F.transform_values(F.from_json(who, "map<string, string>"), lambda k, v: F.coalesce(F.from_json(v, "array<string>"), F.array(v)))
+    e = e.select(
+        "doc_id", _any(j, "event_type", "type", "event").alias("said"), names.alias("participants"), _any(j, "timestamp", "date", "time", "when").alias("ts"), _any(j, "location", "place").alias("location"),
+        _any(j, "evidence", "snippet", "trigger").alias("evidence"), F.expr("try_cast(get_json_object(j, '$.confidence') AS double)").alias("confidence"),
+    )
+    k = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[\\s_-]+", "")
+    t = types.select("event_type").distinct().groupBy(k(F.col("event_type")).alias("k")).agg(F.min("event_type").alias("event_type"))
+    e = e.join(t, k(F.col("said")) == F.col("k")).where("participants IS NOT NULL AND size(participants) > 0")
+    e = e.withColumn("id", event_id(F.col("event_type"), F.col("participants"), F.col("ts"), F.col("evidence")))
+    cols = ("event_type", "participants", "ts", "location", "evidence", "confidence", "doc_id")
+    return e.groupBy("id").agg(F.min_by(F.struct(*cols), "doc_id").alias("e")).select("id", "e.*")
+
+

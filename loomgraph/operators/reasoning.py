@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.json import js, obj
 from loomgraph.functions.numbers import clamp
-from loomgraph.graph import Graph, complete
+from loomgraph.graph import Graph, full_edges
 
 SYMMETRIC = ("allied_with", "associated_with", "co-occurs_with", "collaborated_with", "competes_with", "married_to", "related_to", "sibling_of")
 TRANSITIVE = ("contained_in", "is_a", "located_in", "owned_by", "part_of", "reports_to", "subclass_of", "subset_of")
@@ -71,9 +72,16 @@ def composition(g: Graph) -> DataFrame:
 
 
 def path_bridge(g: Graph) -> DataFrame:
-    """Any two hops give connected_via between their ends, of which the first pair of edges counts."""
-    both = _two(g.edges, g.edges).withColumn("rel", F.lit("connected_via")).drop("r1", "r2")
-    return _first(both, "path_bridge", 0.8)
+    """Any two hops give connected_via between their ends, of which the first pair of edges counts.
+
+    Parallel edges between two nodes fold before the join: only the first of them can be part of a first pair, and its confidence counts.
+    """
+    e = g.edges.groupBy("source", "target").agg(F.min(F.struct("edge_id", "confidence")).alias("b"), F.count("*").alias("n"))
+    a = e.select("source", F.col("target").alias("via"), F.col("b.edge_id").alias("e1"), _c("b.confidence").alias("c1"), F.col("n").alias("n1"))
+    b = e.select(F.col("source").alias("via"), "target", F.col("b.edge_id").alias("e2"), _c("b.confidence").alias("c2"), F.col("n").alias("n2"))
+    both = a.join(b, "via").where("source <> target").select("source", "target", F.struct(F.concat_ws("|", "e1", "e2").alias("support"), "via", (F.col("c1") * F.col("c2")).alias("product")).alias("b"), (F.col("n1") * F.col("n2")).alias("n"))
+    best = both.groupBy("source", "target").agg(F.min("b").alias("b"), F.sum("n").alias("n_same"))
+    return best.select("source", F.lit("connected_via").alias("rel"), "target", F.round(clamp(F.col("b.product") * 0.8), 4).alias("confidence"), F.lit("path_bridge").alias("rule"), F.col("b.via").alias("via"), F.col("b.support").alias("support"), "n_same")
 
 
 RULES: dict[str, Rule] = {"symmetric": symmetric, "inverse": inverse, "transitive": transitive, "composition": composition, "path_bridge": path_bridge}
@@ -89,10 +97,16 @@ def infer(g: Graph, rules: tuple[str, ...] = tuple(RULES), min_confidence: float
     return best.select("b.*")
 
 
+def stamp(inferred: DataFrame) -> DataFrame:
+    """Inferred edges with `metadata`: that they are inferred, by which rule, over which node, from which edges."""
+    steps = F.to_json(F.split("support", r"\|"))
+    return inferred.withColumn("metadata", obj(inferred=F.lit("true"), inference=obj(rule=js(F.col("rule")), via_node=js(F.col("via")), composed_from=steps, confidence=js(F.col("confidence")))))
+
+
 def apply(g: Graph, inferred: DataFrame) -> Graph:
-    """The graph with the inferred edges that are new and have both ends."""
+    """The graph with the inferred edges that are new and have both ends, stamped with how they came about."""
     new = _missing(inferred, g)
     for side in ("source", "target"):
         new = new.join(g.nodes.select(F.col("node_id").alias(side)), side, "left_semi")
-    new = new.withColumn("edge_id", F.concat(F.lit("~"), "rule", F.lit(":"), "source", F.lit(">"), "rel", F.lit(">"), "target")).withColumn("inferred", F.lit(True))
-    return g.with_edges(g.edges.unionByName(complete(new)))
+    new = stamp(new).withColumn("edge_id", F.concat(F.lit("~"), "rule", F.lit(":"), "source", F.lit(">"), "rel", F.lit(">"), "target")).withColumn("inferred", F.lit(True))
+    return g.with_edges(full_edges(g.edges).unionByName(full_edges(new)))

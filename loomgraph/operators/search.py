@@ -13,7 +13,8 @@ from loomgraph.graph import Graph, QueryError
 
 def with_cluster(g: Graph, rows: DataFrame, column: str = "node_id") -> DataFrame:
     """Left join of the cluster; of several the last one counts."""
-    one = g.members.groupBy("node_id").agg(F.max("cluster_id").alias("cluster_id"))
+    order = "cluster_order" if "cluster_order" in g.members.columns else "cluster_id"  # insertion, where it is known
+    one = g.members.groupBy("node_id").agg(F.max_by("cluster_id", order).alias("cluster_id"))
     return rows.join(one.withColumnRenamed("node_id", "__n"), F.col(column) == F.col("__n"), "left").drop("__n")
 
 
@@ -58,8 +59,10 @@ def shared_neighbors(g: Graph, a: str, b: str) -> DataFrame:
 
 
 def edge_views(g: Graph, edges: DataFrame | None = None) -> DataFrame:
-    """Edges with the types and clusters of both ends and the document they came from."""
-    e = g.edges if edges is None else edges
+    """Edges with the types and clusters of both ends, the documents they came from and the snippet that supports them."""
+    from .provenance import evidence
+
+    e = evidence(g.edges if edges is None else edges).withColumn("snippet", F.col("item.snippet")).drop("item", "provenance")
     n = with_cluster(g, g.nodes.select("node_id", "type"))
     for side in ("source", "target"):
         e = e.join(n.select(F.col("node_id").alias(side), F.col("type").alias(f"{side}_type"), F.col("cluster_id").alias(f"{side}_cluster")), side, "left")
@@ -100,6 +103,17 @@ def search(g: Graph, query: str, k_entities: int = 10, k_edges: int = 40) -> Dat
     return out.dropDuplicates(["edge_id"]).orderBy("edge_id").limit(k_edges)
 
 
+def answer(g: Graph, query: str, k_entities: int = 10, k_edges: int = 40) -> DataFrame:
+    """(n_entities, n_edges, documents, answer): what a search finds, in a sentence, with the documents behind it."""
+    from .provenance import edge_evidence
+
+    e = edge_evidence(g, search(g, query, k_entities, k_edges))
+    ends = e.select(F.col("source").alias("n")).union(e.select("target")).agg(F.countDistinct("n").alias("n_entities"))
+    docs = e.select(F.explode("documents").alias("d")).agg(F.array_sort(F.collect_set("d")).alias("documents"))
+    say = F.when(F.col("n_edges") == 0, F.lit(f"Nothing was found for '{query}'.")).otherwise(F.format_string("Found %d relation(s) between %d entities in %d document(s).", "n_edges", "n_entities", F.size("documents")))
+    return e.agg(F.count("*").alias("n_edges")).crossJoin(ends).crossJoin(docs).select("n_entities", "n_edges", "documents", say.alias("answer"))  # each is one row
+
+
 def is_event_type(c):
     """'Event:..' with something behind it, or one of the plain names of events."""
     t = F.lower(F.trim(c))
@@ -110,13 +124,15 @@ def event_role(rel):
     return F.when(F.lower(rel).startswith("role:"), F.substring(rel, 6, 1_000_000))
 
 
-def events_for(g: Graph, node_id: str) -> DataFrame:
-    """(event_id, event_type, role, participants): an entity's events, a row for each edge that joins it to one."""
+def events_for(g: Graph, node_id: str, event_types: list[str] | None = None) -> DataFrame:
+    """(event_id, event_type, role, participants, documents): an entity's events (of some types), a row for each edge that joins it to one."""
     ev = g.nodes.where(is_event_type(F.col("type"))).select(F.col("node_id").alias("event_id"), F.substring("type", 7, 1_000_000).alias("event_type"))
     own = g.edges.where((F.col("target") == node_id) & F.col("rel").startswith("role:")).select(F.col("source").alias("event_id"), event_role(F.col("rel")).alias("role"), "edge_id")
+    if event_types:
+        ev = ev.where(F.lower("event_type").isin(*[t.lower() for t in event_types]))
     own = own.join(ev, "event_id")
-    part = g.edges.where(F.col("rel").startswith("role:")).join(F.broadcast(own.select(F.col("event_id").alias("source")).distinct()), "source", "left_semi")
-    part = part.groupBy(F.col("source").alias("event_id")).agg(F.array_sort(F.collect_set("target")).alias("participants"))
+    part = g.edges.where(F.col("rel").startswith("role:")).join(own.select(F.col("event_id").alias("source")).distinct(), "source", "left_semi")
+    part = part.groupBy(F.col("source").alias("event_id")).agg(F.array_sort(F.collect_set("target")).alias("participants"), F.array_sort(F.collect_set("document_id")).alias("documents"))
     return own.join(part, "event_id").drop("edge_id")
 
 
@@ -151,12 +167,6 @@ def related(g: Graph, node_id: str, mode: str = "shared_neighbors", limit: int =
     return rows.orderBy(F.desc("score"), F.lower("node_id"), "node_id").limit(limit)
 
 
-def evidence_bundle(g: Graph, source: str, rel: str, target: str) -> DataFrame:
-    """(n_edges, documents, confidence): what supports one triple."""
-    e = relations(g, source, target, rel)
-    return e.agg(F.count("*").alias("n_edges"), F.array_sort(F.collect_set("document_id")).alias("documents"), F.max("confidence").alias("confidence"))
-
-
 def rank(scores: DataFrame, limit: int = 10) -> DataFrame:
     """(node_id, score, rank): greatest first, then by lower-case name."""
     if limit < 1:

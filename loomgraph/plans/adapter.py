@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.graph import Graph, complete
+from loomgraph.functions.json import js, obj
+from loomgraph.graph import Graph, complete, full_edges, full_nodes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +84,22 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes(spark, sf_dir), e, members(spark, sf_dir))
 
 
+def rich_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """All nodes and edges with what they may carry: properties of customers and parts, the table of each node as its document, the order line behind each purchase."""
+    g = trade_graph(spark, sf_dir)
+    more = table(spark, sf_dir, "customer").select(_key("customer", "c_custkey").alias("node_id"), obj(segment=js(F.col("c_mktsegment"))).alias("properties"))
+    more = more.unionByName(table(spark, sf_dir, "part").select(_key("part", "p_partkey"), obj(brand=js(F.col("p_brand")), size=js(F.col("p_size")))).toDF("node_id", "properties"))
+    n = g.nodes.join(more, "node_id", "left").withColumn("source_documents", F.array(F.lower("type")))
+    n = n.withColumn("metadata", obj(source_documents=F.to_json("source_documents")))
+    line = F.regexp_extract("edge_id", r"^purchased:\d+:(\d+):", 1)
+    bought = F.col("rel") == "purchased"
+    e = g.edges.withColumns({
+        "detail": F.when(bought, F.concat(F.lit("line "), line)),
+        "metadata": F.when(bought, obj(source_ref=js(F.col("document_id")), evidence=js(F.concat(F.lit("line "), line)))),
+    })
+    return Graph(full_nodes(n), full_edges(e), g.members)
+
+
 #: The same in SQL, as common table expressions: nodes, located, supplies, purchased, edges, members
 SQL = """WITH nodes AS (
   SELECT 'region:' || r_regionkey AS node_id, 'Region' AS type, CAST(NULL AS DOUBLE) AS confidence FROM region
@@ -111,3 +128,14 @@ SQL = """WITH nodes AS (
   SELECT 'market:' || target AS cluster_id, source AS node_id FROM located WHERE target LIKE 'nation:%'
 )
 """
+
+#: the same as rich_graph: rich_nodes, rich_edges
+RICH = SQL.rstrip() + """, rich_nodes AS (
+  SELECT n.*, CASE WHEN c_custkey IS NOT NULL THEN '{"segment":"' || c_mktsegment || '"}' WHEN p_partkey IS NOT NULL THEN '{"brand":"' || p_brand || '","size":' || p_size || '}' END AS properties,
+    '{"source_documents":["' || lower(type) || '"]}' AS metadata
+  FROM nodes n LEFT JOIN customer ON node_id = 'customer:' || c_custkey LEFT JOIN part ON node_id = 'part:' || p_partkey
+), rich_edges AS (
+  SELECT *, CASE WHEN rel = 'purchased' THEN 'line ' || split_part(edge_id, ':', 3) END AS detail,
+    CASE WHEN rel = 'purchased' THEN '{"source_ref":"' || document_id || '","evidence":"line ' || split_part(edge_id, ':', 3) || '"}' END AS metadata FROM edges
+)
+"""

@@ -14,7 +14,7 @@ def merge_stream(edges: DataFrame, base: Graph, folder: str, checkpoint: str):
     store = Versions(folder)
 
     def step(batch: DataFrame, number: int) -> None:
-        notes = [v["note"] for v in store.list()]
+        notes = [v["note"] for v in store.list(batch.sparkSession)]
         if f"batch {number}" in notes:  # a batch that was saved before a failure
             return
         now = store.load(batch.sparkSession, len(notes)) if notes else base

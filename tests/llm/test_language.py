@@ -37,6 +37,19 @@ def test_viterbi_is_exact_across_segments():
         assert np.allclose(value, brute(s.astype(float), off, 3.0), atol=0.02)
 
 
+def test_many_labels_and_bounded_memory():
+    g = np.random.default_rng(1)
+    off = np.array([0, 500, 500, 501, 900, 1700])
+    s = -4 * g.random((1700, 200)).astype(np.float32)
+    s[:500, 190] += 4
+    whole = langid.viterbi(s, off, 3.0)
+    assert whole.max() > 128 and (whole[:500] == 190).mean() > 0.9
+    for limit in (1, 200 * 200 * 3, 200 * 200 * 10):
+        assert (langid.viterbi(s, off, 3.0, limit) == whole).all()
+    tied = np.zeros((4, 3), np.float32)
+    assert langid.viterbi(tied, np.array([0, 4])).tolist() == [0, 0, 0, 0]
+
+
 def test_spans_and_filter(spark):
     mixed = "thoing wering andand thowering ingand " * 6 + "zukych ßenüb zukzuk ychüben " * 8
     docs = corpus(spark, [(500, mixed), (501, "Это другой алфавит совсем"), (502, "thoing 12 34 , wering and")])
@@ -60,3 +73,11 @@ def test_empty_and_unlabelled(spark):
 
 def test_scripts_narrow():
     assert langid.scripts(pa.array(["abc", "год", "aб", "12", "日本"])).tolist() == [2, 8, 10, 0, 1 << 15]
+
+
+def test_repeated_rows_and_a_long_text(spark):
+    long = "thoing wering andand thowering ingand " * 20_000
+    docs = corpus(spark, [(700, long), (700, long), (700, "zukych ßenüb zukzuk ychüben")]).withColumnRenamed("spans", "text_")
+    out = [r for r in langid.languages(docs).collect() if r["doc_id"] == 700]
+    assert sorted((r["lang"], sum(x["words"] for x in r["spans"])) for r in out) == [("aa", 100_000), ("aa", 100_000), ("bb", 4)]
+    assert sum(r["doc_id"] == 700 for r in langid.keep_known(docs).collect()) == 3
