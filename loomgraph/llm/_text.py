@@ -7,6 +7,7 @@ the distinct words are touched again.  Nothing depends on Python's own hash.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
@@ -73,6 +74,19 @@ def hash_strings(arr: pa.Array) -> np.ndarray:
     return mix(seg_sum(v, off) + np.uint64(0x9E3779B97F4A7C15) * np.diff(off).astype(np.uint64))
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return to the system what Arrow and the C library hold free: workers are reused, and idle ones keep it from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece holds about `limit` bytes of `column`, at least one row; nulls become ''."""
     i = batch.schema.get_field_index(column)
@@ -91,6 +105,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         end = min(end, at + SLICE_ROWS)
         yield batch.slice(at, end - at)
         at = end
+    if off[-1] >= limit:
+        give_back()
 
 
 class Words:
