@@ -38,3 +38,19 @@ def union(old: Column, new: Column, new_wins: bool = True) -> Column:
     rest = F.map_filter(then, lambda k, _: ~F.array_contains(F.map_keys(first), k))
     keep = F.map_concat(first, rest)
     return F.when(F.size(keep) > 0, F.to_json(keep))
+
+
+def canonical(o: Column) -> Column:
+    """JSON text as `union` writes it, with the names of an object in order."""
+    return F.to_json(F.parse_json(o))
+
+
+def items(o: Column, path: str) -> Column:
+    """The elements of the array at a path, each as canonical text; none where there is no array."""
+    found = F.from_json(F.get_json_object(o, path), "array<variant>")
+    return F.coalesce(F.transform(found, lambda v: F.to_json(v)), F.array().cast("array<string>"))
+
+
+def array(texts: Column) -> Column:
+    """An array of JSON texts."""
+    return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
