@@ -390,16 +390,14 @@ _SKETCH = [f"s{k}" for k in range(8)]
 
 def _sketch(h: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """512 bits of each set, a bit for each word, in eight integers."""
-    bit = T.mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(55)
-    one, part = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
-    full = off[1:] > off[:-1]
-    out = []
-    for k in range(8):
-        x = np.zeros(len(off) - 1, np.uint64)
-        if full.any():
-            x[full] = np.bitwise_or.reduceat(np.where(part == np.uint64(k), one, np.uint64(0)), off[:-1][full])
-        out.append(x.view(np.int64))
-    return out
+    bit = (T.mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(55)).astype(np.int64)
+    out = np.zeros((len(off) - 1, 8), "<u8")
+    for at in range(0, len(out), 8192):  # some lines side by side, a byte for each bit
+        o = off[at : at + 8193]
+        m = np.zeros((len(o) - 1, 512), bool)
+        m.reshape(-1)[np.repeat(np.arange(len(m)) << 9, np.diff(o)) + bit[o[0] : o[-1]]] = True
+        out[at : at + len(m)] = np.packbits(m, axis=1, bitorder="little").view("<u8")
+    return [np.ascontiguousarray(out[:, k]).view(np.int64) for k in range(8)]
 
 
 def _reread(bits: int, bitmap, sketch: bool = False):
@@ -467,9 +465,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 def variants(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`docs` (doc_id, text) with the number of the text among those of its doc_id, 0 where there is one; and (doc_id, h, variant) where there are several."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    several = keyed.groupBy("doc_id").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x < y").select("doc_id")
-    texts = T.materialize(keyed.join(several, "doc_id", "left_semi").distinct())
+    twice = T.materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not twice.limit(1).count():  # no text is read
+        none = F.lit(0).cast("bigint")
+        return docs.withColumn("variant", none), twice.select("doc_id", none.alias("h"), none.alias("variant"))
+    keyed = T.materialize(docs.select("doc_id", F.xxhash64("text").alias("h")).join(twice, "doc_id", "left_semi").distinct())
+    texts = T.materialize(keyed.join(keyed.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_semi"))
     texts = texts.withColumn("variant", (F.row_number().over(Window.partitionBy("doc_id").orderBy("h")) - 1).cast("bigint"))
     if not texts.limit(1).count():
         return docs.withColumn("variant", F.lit(0).cast("bigint")), texts
@@ -512,7 +513,7 @@ def _matches(docs: DataFrame, threshold: float, bits: int) -> DataFrame:
     n_open = open_.count()
     if n_open:
         lines_known = sc.broadcast(_bitmap(open_.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no")), _width(2 * n_open), _places).tobytes())
-        own = heads.mapInArrow(_known_lines(lines_known), heads.schema).select("doc_id", "line_no", "tok")
+        own = heads.select("doc_id", "line_no", "tok").mapInArrow(_known_lines(lines_known), "doc_id bigint, line_no bigint, tok array<bigint>")
         own = own.join(open_.withColumnsRenamed({"doc_b": "doc_id", "line_b": "line_no"}), ["doc_id", "line_no"])
         own = T.materialize(own.select("doc_a", "line_a", F.col("doc_id").alias("doc_b"), F.col("line_no").alias("line_b"), F.explode("tok").alias("tok")))
         known = sc.broadcast(_bitmap(own.select("tok"), _width(8 * n_open), _words).tobytes())
@@ -524,7 +525,9 @@ def _matches(docs: DataFrame, threshold: float, bits: int) -> DataFrame:
 
         asked = own.mapInArrow(by_block, f"p int, {_PAIRS}").distinct().groupBy("p")
         more = heads.mapInArrow(_postings(blocks, known), post_schema).groupBy("p").cogroup(asked).applyInArrow(_later(threshold), _PAIRS)
-        more = T.materialize(_narrowed(docs, T.materialize(more.distinct()), threshold))
+        more = T.materialize(more.distinct())
+        if more.count() > count:  # sketches take one more reading of all documents, which pays where pairs are many
+            more = T.materialize(_narrowed(docs, more, threshold))
         first = T.materialize(first.unionByName(_verified(docs, more, threshold)))
     is_head = (F.col("doc_id") == F.col("head_doc")) & (F.col("line_no") == F.col("head_line"))
     copies = lines.where(~is_head).select("doc_id", "line_no", "head_doc", "head_line").join(first, ["head_doc", "head_line"], "left")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from helpers import ODD, frame, prose
+from pyspark.sql import functions as F
 
 from loomgraph.llm import _text as T
 from loomgraph.llm import line_dedup
@@ -137,3 +138,28 @@ def test_signatures_that_differ_in_the_top_bit():
     c = {"n": np.array([40, 40]), "pos": np.array([0, 0]), "sig": np.array([(1 << 63) | 1, 3], np.uint64)}
     table = pa.table({"p": [0], **{k: [T.planes(np.array(v).astype(t))] for (k, t), v in zip(line_dedup._POST, ([5, 5], [1, 2], [0, 0], c["n"], c["pos"], c["sig"]))}})
     assert [(r["doc_a"], r["doc_b"]) for r in line_dedup._earliest(0.85)(table).to_pylist()] == [(1, 2)]
+
+
+def test_no_text_is_read_for_variants_where_doc_ids_differ(spark):
+    unread = F.raise_error(F.concat(F.lit("read: "), "text")).cast("string")
+    docs = frame(spark, (1, "a"), (2, "b")).select("doc_id", unread.alias("text"))
+    texts = line_dedup.variants(docs)[1]
+    assert texts.count() == 0 and texts.columns == ["doc_id", "h", "variant"]
+    docs, texts = line_dedup.variants(frame(spark, (1, "a"), (1, "b"), (1, "b"), (2, "b"), (2, "b"), (3, "c")).select("doc_id", "text"))
+    assert {(r["doc_id"], r["variant"]) for r in texts.collect()} == {(1, 0), (1, 1)}
+    assert sorted((r["doc_id"], r["text"]) for r in docs.where("variant = 0").collect())[-3:] == [(2, "b"), (2, "b"), (3, "c")]
+
+
+def test_words_and_sketches_as_by_hand():
+    texts = ["a b", "a\u00a0b", "a\u3000b\u2003c", "x\x1cy z", "caf\u00e9 \u201cna\u00efve\u201d \u2026", " \t\n", "", "\u65e5\u672c x"]
+    for x in texts:
+        w = T.Words(pa.array([x]))
+        assert [w.uniq[int(c)].as_py() for c in w.codes] == x.split()
+    g = np.random.default_rng(1)
+    off = np.concatenate([[0], np.cumsum(g.integers(0, 30, 9000))])
+    h = g.integers(0, 2**63, off[-1]).astype(np.uint64)
+    bit = (T.mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(55)).tolist()
+    got = line_dedup._sketch(h, off)
+    for i in (0, 8191, 8192, 8999):
+        whole = sum(1 << b for b in set(bit[off[i] : off[i + 1]]))
+        assert [int(x[i]) % 2**64 for x in got] == [whole >> 64 * k & 2**64 - 1 for k in range(8)]
