@@ -406,5 +406,5 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     """
     gone = classes(docs, n, threshold).where("doc_id <> class_id or txt <> class_txt")
     d, t = T.fresh(docs, "doc"), T.fresh(docs, "txt")
-    gone = gone.select(F.col("doc_id").alias(d), F.col("txt").alias(t))
+    gone = T.materialize(gone.select(F.col("doc_id").alias(d), F.col("txt").alias(t)))  # else all of it is planned and run at once with the join: the driver's largest job
     return docs.join(gone, (docs["doc_id"] == F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t)), "left_anti")

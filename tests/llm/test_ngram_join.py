@@ -1,9 +1,10 @@
 import random
+import sys
 
 import numpy as np
 from helpers import ODD, frame, prose
 
-from loomgraph.llm import ngram_join
+from loomgraph.llm import _text, ngram_join
 
 
 def grams(text):
@@ -91,6 +92,12 @@ def test_repeated_rows_and_clashing_names(spark):
     assert sorted(kept) == sorted([(1, one), (1, one), (2, two), (4, prose(3, 30))])
 
 
+def test_the_last_join_runs_by_itself(spark):
+    plan = ngram_join.drop_near_copies(frame(spark, *documents()))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "mapInArrow" not in plan and "MapInArrow" not in plan
+    assert _text.trim_driver(spark) or sys.platform != "linux"
+
+
 def test_very_long_text(spark):
     long = prose(8, 60_000, 10_000)
     pairs = [(1, long), (2, long + " end"), (3, "short text of words")]
