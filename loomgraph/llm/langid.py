@@ -34,6 +34,7 @@ SWITCH = 8.0
 CLIP = 6.0
 MIN_SHARE = 0.5
 _SEGMENT = 64
+_WORD_BYTES = 1 << 17  # of words whose n-grams are listed at a time: each takes some hundred bytes
 
 #: first code point of each range, and its script's bit; 0: common to all
 _RANGES = [
@@ -94,6 +95,12 @@ def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def parts(words: pa.Array, limit: int = _WORD_BYTES):
+    """(first, words): stretches of about `limit` bytes."""
+    for at, end in T.stretches(T.utf8_parts(words)[1], limit):
+        yield at, words.slice(at, end - at)
+
+
 class Model:
     """log p(bucket | language), the scripts of each language, and their names; `und` is the last label."""
 
@@ -107,6 +114,12 @@ class Model:
 
     def scores(self, words: pa.Array) -> np.ndarray:
         """Score of each label for each word, the best at most CLIP above the next; all zero for a word without letters."""
+        out = np.zeros((len(words), len(self.names)), np.float32)
+        for at, some in parts(words):
+            out[at : at + len(some)] = self._scores(some)
+        return out
+
+    def _scores(self, words: pa.Array) -> np.ndarray:
         k = len(self.names)
         out = np.zeros((len(words), k), np.float32)
         bucket, owner = grams(words)
@@ -141,10 +154,13 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> Model:
                     if not len(w.codes):
                         continue
                     times = np.bincount(w.codes, minlength=len(w.uniq))
-                    bucket, owner = grams(w.uniq)
-                    total[place[lang], : 1 << BITS] += np.bincount(bucket, times[owner], minlength=1 << BITS)
-                    s = scripts(w.uniq)
-                    total[place[lang], 1 << BITS :] += [times[(s >> i & 1) == 1].sum() for i in range(SCRIPTS)]
+                    own = np.zeros(width)
+                    for at, some in parts(w.uniq):
+                        bucket, owner = grams(some)
+                        s, n = scripts(some), times[at : at + len(some)]
+                        own[: 1 << BITS] += np.bincount(bucket, n[owner], minlength=1 << BITS)
+                        own[1 << BITS :] += [n[(s >> i & 1) == 1].sum() for i in range(SCRIPTS)]
+                    total[place[lang]] += own
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["blob"])
 
     total = T.add_up(picked.coalesce(16).mapInArrow(count, "blob binary"), len(names) * width, np.float32).reshape(len(names), width).astype(float)
@@ -239,7 +255,7 @@ def label(text: pa.Array, model: Model, switch: float = SWITCH):
     w = T.Words(text, lower=False)
     if not len(w.codes):
         return w.offsets, np.zeros(0, np.int64), np.zeros(0, bool)
-    letters = (scripts(w.uniq) != 0)[w.codes]
+    letters = np.concatenate([scripts(some) != 0 for _, some in parts(w.uniq)])[w.codes]
     lab = viterbi(model.scores(w.uniq)[w.codes], w.offsets, switch)
     none = T.seg_sum(letters.astype(np.int64), w.offsets) == 0
     lab[np.repeat(none, np.diff(w.offsets))] = len(model.names) - 1

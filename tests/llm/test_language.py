@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from helpers import ODD
@@ -37,6 +39,20 @@ def test_viterbi_is_exact_across_segments():
         assert np.allclose(value, brute(s.astype(float), off, 3.0), atol=0.02)
 
 
+def test_many_distinct_words_in_bounded_memory():
+    g = np.random.default_rng(2)
+    m = langid.Model(["aa", "bb", "cc"], g.random((3, 1 << langid.BITS)), np.ones((3, langid.SCRIPTS)))
+    words = [f"{'zuk' * (i % 3)}{i}wort" for i in range(120_000)] + ["x" * 40_000]
+    text = pa.array([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)])
+    tracemalloc.start()
+    off, lab, letters = langid.label(text, m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and letters.all() and off[-1] == len(words)
+    some = pa.array(words[-50:])
+    assert np.array_equal(m.scores(pa.array(words))[-50:], m._scores(some))
+
+
 def test_many_labels_and_bounded_memory():
     g = np.random.default_rng(1)
     off = np.array([0, 500, 500, 501, 900, 1700])
