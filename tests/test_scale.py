@@ -25,3 +25,21 @@ def test_anchors_leave_texts_in_place(spark, monkeypatch):
     assert {tuple(r)[:3] for r in tx.rank_anchors(terms, docs).collect()} == want
     monkeypatch.setattr(tx, "_FEW", 1)
     assert {tuple(r)[:3] for r in tx.rank_anchors(terms, docs).collect()} == want
+
+
+def test_merged_provenance_has_the_first_cluster(spark):
+    rows = spark.createDataFrame(
+        [("g", "2", "", ["d2", "d1"], ("a", "r", "b", "d2", None, 0.5, False)), ("g", "1", None, ["d1"], ("a", "r", "b", "d1", "s", 0.9, False)), ("g", "3", "k3", ["d1"], ("a", "r", "b", "d1", "s", 0.1, False)), ("g", "4", "k4", [], ("x", "r", "b", None, None, None, True)), ("h", "5", None, None, ("x", "r", "b", None, None, None, True))],
+        "by string, edge_id string, cluster_id string, documents array<string>, item struct<source: string, rel: string, target: string, source_ref: string, snippet: string, confidence: double, inferred: boolean>",
+    )
+    got = {r["by"]: r for r in provenance.merge(rows, ["by"]).collect()}
+    assert got["g"]["cluster_id"] == "k3" and got["g"]["documents"] == ["d1", "d2"]
+    assert [(e["source"], e["source_ref"], e["confidence"]) for e in got["g"]["evidence"]] == [("a", "d1", 0.9), ("a", "d2", 0.5), ("x", None, None)]
+    assert got["h"]["cluster_id"] is None and got["h"]["documents"] is None and len(got["h"]["evidence"]) == 1
+    m = spark.createDataFrame([("c", "x")], "cluster_id string, node_id string")
+    assert {r["by"]: r["cluster_id"] for r in provenance.merge(rows.drop("cluster_id"), ["by"], members=m).collect()} == {"g": "c", "h": "c"}
+
+
+def test_merged_provenance_moves_rows_once(spark):
+    rows = spark.createDataFrame([], "by string, edge_id string, documents array<string>, item struct<source: string, rel: string, target: string, source_ref: string, snippet: string, confidence: double, inferred: boolean>")
+    assert plan(provenance.merge(rows, ["by"])).count("Exchange") == 1
