@@ -43,3 +43,19 @@ def test_merged_provenance_has_the_first_cluster(spark):
 def test_merged_provenance_moves_rows_once(spark):
     rows = spark.createDataFrame([], "by string, edge_id string, documents array<string>, item struct<source: string, rel: string, target: string, source_ref: string, snippet: string, confidence: double, inferred: boolean>")
     assert plan(provenance.merge(rows, ["by"])).count("Exchange") == 1
+
+
+def test_json_computes_a_value_once(spark):
+    o = spark.createDataFrame([('{"a":1,"b":{"c":"x"}}', '{"b":2,"d":"q"}', 'say "hi"\n', None)], "m string, n string, s string, none string")
+    u = F.col("m")
+    for _ in range(4):
+        u = union(u, F.col("n"))
+    p = plan(o.select(u), "optimizedPlan")
+    assert p.count("from_json") == 8 and p.lower().count("structstojson") <= 4
+    deep = js(F.col("s"))
+    for _ in range(6):
+        deep = obj(k=deep)
+    assert plan(o.select(deep), "optimizedPlan").lower().count("structstojson") == 1
+    row = o.select(u.alias("u"), union(F.col("m"), F.col("n"), new_wins=False).alias("o"), union(F.col("none"), F.lit("{}")).alias("e"), deep.alias("d"), obj(a=js(F.col("none")), b=js(F.lit("null"))).alias("z")).first()
+    assert row["u"] == '{"b":2,"d":"q","a":1}' and row["o"] == '{"a":1,"b":{"c":"x"},"d":"q"}' and row["e"] is None
+    assert row["d"] == '{"k":' * 6 + '"say \\"hi\\"\\n"' + "}" * 6 and row["z"] == '{"b":"null"}'
