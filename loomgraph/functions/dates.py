@@ -8,23 +8,22 @@ from pyspark.sql import functions as F
 MONTHS = "january february march april may june july august september october november december".split()
 
 
+# no text is two of these; whole days are tried first, as most dates are
+_DAY, _YEAR, _MONTH, _INSTANT = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}$", r"^\d{4}-\d{2}$", r"^\d{4}-\d{2}-\d{2}[T ].+$"
+
+
 def precision(c: Column) -> Column:
-    return (
-        F.when(c.rlike(r"^\d{4}$"), "year").when(c.rlike(r"^\d{4}-\d{2}$"), "month").when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), "day")
-        .when(c.rlike(r"^\d{4}-\d{2}-\d{2}[T ].+$"), "instant")
-    )
+    return F.when(c.rlike(_DAY), "day").when(c.rlike(_YEAR), "year").when(c.rlike(_MONTH), "month").when(c.rlike(_INSTANT), "instant")
 
 
 def lo(c: Column) -> Column:
     """First day; an instant stays; null for what is no date."""
-    p = precision(c)
-    return F.when(p == "year", F.concat(c, F.lit("-01-01"))).when(p == "month", F.concat(c, F.lit("-01"))).when(p.isNotNull(), c)
+    return F.when(c.rlike(_DAY), c).when(c.rlike(_YEAR), F.concat(c, F.lit("-01-01"))).when(c.rlike(_MONTH), F.concat(c, F.lit("-01"))).when(c.rlike(_INSTANT), c)
 
 
 def hi(c: Column) -> Column:
     """Last day; null for an impossible month."""
-    p = precision(c)
-    return F.when(p == "year", F.concat(c, F.lit("-12-31"))).when(p == "month", F.last_day(F.try_to_date(c, "yyyy-MM")).cast("string")).when(p.isNotNull(), c)
+    return F.when(c.rlike(_DAY), c).when(c.rlike(_YEAR), F.concat(c, F.lit("-12-31"))).when(c.rlike(_MONTH), F.last_day(F.try_to_date(c, "yyyy-MM")).cast("string")).when(c.rlike(_INSTANT), c)
 
 
 def compare(a: Column, b: Column) -> Column:

@@ -59,3 +59,12 @@ def test_json_computes_a_value_once(spark):
     row = o.select(u.alias("u"), union(F.col("m"), F.col("n"), new_wins=False).alias("o"), union(F.col("none"), F.lit("{}")).alias("e"), deep.alias("d"), obj(a=js(F.col("none")), b=js(F.lit("null"))).alias("z")).first()
     assert row["u"] == '{"b":2,"d":"q","a":1}' and row["o"] == '{"a":1,"b":{"c":"x"},"d":"q"}' and row["e"] is None
     assert row["d"] == '{"k":' * 6 + '"say \\"hi\\"\\n"' + "}" * 6 and row["z"] == '{"b":"null"}'
+
+
+def test_dates_are_read_once(spark):
+    d = spark.createDataFrame([("1996",), ("1996-02",), ("1996-02-03",), ("1996-02-03T04:05",), ("1996-13",), ("soon",), (None,)], "d string")
+    c = F.col("d")
+    assert plan(d.select(D.lo(c).alias("x")), "optimizedPlan").count("RLIKE") == 4
+    assert [tuple(r) for r in d.select(D.precision(c), D.lo(c), D.hi(c)).collect()] == [
+        ("year", "1996-01-01", "1996-12-31"), ("month", "1996-02-01", "1996-02-29"), ("day", "1996-02-03", "1996-02-03"), ("instant", "1996-02-03T04:05", "1996-02-03T04:05"), ("month", "1996-13-01", None), (None, None, None), (None, None, None),
+    ]
