@@ -68,3 +68,22 @@ def test_dates_are_read_once(spark):
     assert [tuple(r) for r in d.select(D.precision(c), D.lo(c), D.hi(c)).collect()] == [
         ("year", "1996-01-01", "1996-12-31"), ("month", "1996-02-01", "1996-02-29"), ("day", "1996-02-03", "1996-02-03"), ("instant", "1996-02-03T04:05", "1996-02-03T04:05"), ("month", "1996-13-01", None), (None, None, None), (None, None, None),
     ]
+
+
+def test_large_graphs_get_small_partitions(spark, tmp_path):
+    from loomgraph.plans import session
+
+    keys = (session._INITIAL, session._ADVISORY)
+    (tmp_path / "t.parquet").write_bytes(b"x" * (41 << 20))
+    for k in keys:
+        spark.conf.unset(k)
+    try:
+        session.spread(spark, str(tmp_path / "t.parquet"))
+        assert spark.conf.get(keys[0]) == "11" and spark.conf.get(keys[1]) == f"{8 << 20}b"
+        spark.conf.set(keys[0], "50")
+        spark.conf.set(keys[1], "1m")
+        session.spread(spark, str(tmp_path / "t.parquet"))
+        assert spark.conf.get(keys[0]) == "50" and spark.conf.get(keys[1]) == "1m"
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
