@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.graph import Graph, full_edges
+from loomgraph.operators.compact import NONE, Compact, least_step, rank_step, vote_step
 from loomgraph.plans.session import checkpoint
 
 
@@ -28,24 +30,15 @@ def adjacency(g: Graph) -> DataFrame:
 
 def pagerank(g: Graph, rounds: int = 30, damping: float = 0.85) -> DataFrame:
     """(node_id, score): synchronous steps over distinct undirected neighbours; isolated nodes spread their rank over all; what flows to an id that is no node is lost."""
-    n = g.nodes.count()
-    if n == 0:
-        return g.nodes.select("node_id", F.lit(0.0).alias("score"))
-    adj = adjacency(g)
-    adj = checkpoint(adj.join(adj.groupBy("node_id").agg(F.count("*").alias("out")), "node_id"))
-    ranks = g.nodes.select("node_id", F.lit(1.0 / n).alias("score"))
-    isolated = checkpoint(g.nodes.select("node_id").join(adj, "node_id", "left_anti"))
-    loss = isolated.count() > 0
-    for k in range(rounds):
-        got = adj.join(ranks, "node_id").groupBy("other").agg(F.sum(F.col("score") / F.col("out")).alias("got"))
-        rest = 0.0
-        if loss:
-            rest = ranks.join(isolated, "node_id", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        ranks = g.nodes.select("node_id").join(got.withColumnRenamed("other", "node_id"), "node_id", "left")
-        ranks = ranks.select("node_id", (F.lit((1 - damping) / n + damping * rest / n) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if k % 5 == 4 or loss:
-            ranks = checkpoint(ranks)
-    return ranks
+    c = Compact(g)
+    node = c.is_node()
+    n = int(node.sum())
+    out = c.degrees()
+    rank = np.where(node, 1.0 / max(1, n), 0.0)
+    for _ in range(rounds):
+        got = c.step(rank_step, np.divide(rank, out, out=np.zeros(c.n), where=out > 0), np.zeros(c.n))
+        rank = np.where(node, (1 - damping) / max(1, n) + damping * (got + rank[out == 0].sum() / max(1, n)), 0.0)
+    return c.column(rank, "score", "double")
 
 
 def influence(g: Graph) -> DataFrame:
@@ -62,16 +55,15 @@ def components(g: Graph) -> DataFrame:
 
     Labels hop to the least neighbour and along pointers, so rounds grow with the logarithm of the longest path.
     """
-    adj = checkpoint(adjacency(g))
-    lab = checkpoint(g.nodes.select("node_id", F.col("node_id").alias("c")))
+    c = Compact(g)
+    node = c.is_node()
+    label = np.where(node, np.arange(c.n), NONE)  # ends that are no nodes neither have a label nor pass one on
     while True:
-        near = adj.join(lab.withColumnRenamed("node_id", "other"), "other").groupBy("node_id").agg(F.min("c").alias("m"))
-        step = lab.join(near, "node_id", "left").select("node_id", F.least("c", F.coalesce("m", "c")).alias("n"), "c")
-        up = step.select(F.col("node_id").alias("n"), F.col("n").alias("up"))
-        new = checkpoint(step.join(up, "n", "left").select("node_id", F.least("n", F.coalesce("up", "n")).alias("c"), F.col("c").alias("old")))
-        if not new.where("c <> old").take(1):
-            return new.select("node_id", F.col("c").alias("component"))
-        lab = new.select("node_id", "c")
+        new = np.where(node, c.step(least_step, label, label), NONE)
+        new[node] = np.minimum(new[node], new[new[node]])
+        if (new == label).all():
+            return c.names(label, "component")
+        label = new
 
 
 def auto_clusters(g: Graph, most: int = 12) -> DataFrame:
@@ -89,13 +81,11 @@ def auto_clusters(g: Graph, most: int = 12) -> DataFrame:
 
 def label_propagation(g: Graph, rounds: int = 10) -> DataFrame:
     """(node_id, community): every node takes the label that weighs most among its neighbours and itself (weight: parallel edges), ties to the least; the distributed stand-in for modularity methods."""
-    w = checkpoint(g.endpoints().where("node_id <> other").groupBy("node_id", "other").agg(F.count("*").alias("w")))
-    lab = g.nodes.select("node_id", F.col("node_id").alias("community"))
+    c = Compact(g)
+    label = np.where(c.is_node(), np.arange(c.n), NONE)  # ends that are no nodes have no label to begin with
     for _ in range(rounds):
-        votes = w.join(lab.select(F.col("node_id").alias("other"), "community"), "other").select("node_id", "community", "w")
-        votes = votes.unionByName(lab.withColumn("w", F.lit(1).cast("bigint"))).groupBy("node_id", "community").agg(F.sum("w").alias("w"))
-        lab = checkpoint(votes.groupBy("node_id").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("b")).select("node_id", F.col("b.community").alias("community")))
-    return lab
+        label = c.step(vote_step, label, label)
+    return c.names(label, "community", every=True)
 
 
 def _weights(g: Graph) -> DataFrame:

@@ -87,3 +87,49 @@ def test_large_graphs_get_small_partitions(spark, tmp_path):
     finally:
         for k in keys:
             spark.conf.unset(k)
+
+
+def test_iterations_move_no_edges(spark, monkeypatch):
+    """Ranks, components and labels over packed blocks agree with steps over rows, also in many blocks, with ends that are no nodes and parallel edges."""
+    import random
+
+    from loomgraph.graph import Graph, complete
+    from loomgraph.operators import analytics, compact
+
+    r = random.Random(5)
+    names = [f"n{k}" for k in range(60)]
+    pairs = [(r.choice(names[:50]), r.choice(names[:50])) for _ in range(45)] + [("n0", "n1")] * 3 + [("n2", "gone"), ("gone", "n3"), ("gone", "lost"), ("lost", "end"), ("n4", "n4")]
+    n = spark.createDataFrame([(x, "T", None) for x in names], "node_id string, type string, confidence double")
+    e = spark.createDataFrame([(f"{k:03d}", a, "r", b) for k, (a, b) in enumerate(pairs)], "edge_id string, source string, rel string, target string")
+    g = Graph(n, complete(e), spark.createDataFrame([], "cluster_id string, node_id string"))
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                near.setdefault(x, {}).setdefault(y, 0)
+                near[x][y] += 1
+    comp = {x: x for x in names}
+    for _ in names:
+        comp = {x: min([comp[x], *[comp[y] for y in near.get(x, {}) if y in comp]]) for x in names}
+    label = {x: x for x in names}
+    for _ in range(10):
+        votes = {}
+        for x in {*names, *near}:
+            for y, w in [*near.get(x, {}).items(), (x, 1)]:
+                if y in label:
+                    votes.setdefault(x, {}).setdefault(label[y], 0)
+                    votes[x][label[y]] += w
+        label = {x: min(v, key=lambda c: (-v[c], c)) for x, v in votes.items()}
+    rank = {x: 1 / 60 for x in names}
+    for _ in range(30):
+        rest = sum(rank[x] for x in names if x not in near) / 60
+        rank = {x: 0.15 / 60 + 0.85 * (sum(rank[y] / len(near[y]) for y in near.get(x, {}) if y in rank) + rest) for x in names}
+    monkeypatch.setattr(compact, "_BLOCK", 16)
+    got = lambda df: {a: b for a, b in df.collect()}
+    assert got(analytics.components(g)) == comp and got(analytics.label_propagation(g)) == label
+    ranks = got(analytics.pagerank(g))
+    assert ranks.keys() == rank.keys() and all(abs(ranks[x] - rank[x]) < 1e-12 for x in rank)
+    p = plan(compact.Compact(g).blocks.mapInArrow(lambda b: b, "b bigint, at binary, near binary, w binary"))
+    assert "Exchange" not in p and "Join" not in p
+    empty = g.with_nodes(n.limit(0)).with_edges(g.edges.limit(0))
+    assert analytics.pagerank(empty).count() == 0 and analytics.components(empty).count() == 0 and analytics.label_propagation(empty).count() == 0
