@@ -133,3 +133,16 @@ def test_iterations_move_no_edges(spark, monkeypatch):
     assert "Exchange" not in p and "Join" not in p
     empty = g.with_nodes(n.limit(0)).with_edges(g.edges.limit(0))
     assert analytics.pagerank(empty).count() == 0 and analytics.components(empty).count() == 0 and analytics.label_propagation(empty).count() == 0
+
+
+def test_conflicts_of_small_roles_meet_once(spark):
+    from loomgraph.operators import temporal
+
+    spans = [("1995", "1999"), ("1996-05", "1997-01-01"), (None, "1996"), ("1998-02-03", None), ("1997-01-01", "1997-06"), ("2003", "1990"), ("1996-05", "1996-02"), (None, None)]
+    rows = [(f"{k}{t}", f"p{k % 5}", "held", t, a, b) for t in ("x", "y") for k, (a, b) in enumerate(spans)] + [("z1", "p1", "held", "z", "1990", "1991"), ("z2", "p2", "held", "z", "1991-07", "1995")]
+    e = spark.createDataFrame([(*r, 1.0) for r in rows], "edge_id string, source string, rel string, target string, valid_from string, valid_to string, confidence double")
+    whole, years = temporal.conflicts(e), temporal.conflicts(e, few=2)
+    got = {tuple(r) for r in whole.collect()}
+    assert got == {tuple(r) for r in years.collect()} and ("z1", "z2") in got and ("1x", "4x") not in got and len(got) > 5
+    assert whole.count() == len(got) == years.count()
+    assert "Generate" not in plan(whole) and "Generate" in plan(years)
