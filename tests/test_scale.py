@@ -146,3 +146,16 @@ def test_conflicts_of_small_roles_meet_once(spark):
     assert got == {tuple(r) for r in years.collect()} and ("z1", "z2") in got and ("1x", "4x") not in got and len(got) > 5
     assert whole.count() == len(got) == years.count()
     assert "Generate" not in plan(whole) and "Generate" in plan(years)
+
+
+def test_a_built_graph_has_a_short_plan(spark):
+    from loomgraph.operators import build
+
+    docs = spark.createDataFrame([(1, "Ann works at Acme. Bob left.")], "doc_id bigint, text string")
+    m = spark.createDataFrame([(1, "Ann", "Person"), (1, "Acme", "Company"), (1, "Bob", "Person")], "doc_id bigint, name string, type string")
+    t = spark.createDataFrame([(1, "Ann", "works_at", "Acme")], "doc_id bigint, s string, r string, o string")
+    g = build.build_graph(m, t, docs, spark.createDataFrame([("works_at", "Person", "Company")], "name string, src string, dst string"))
+    e = g.edges.first()
+    assert (e["source"], e["rel"], e["target"], e["confidence"]) == ("Ann", "works_at", "Acme", 0.8) and '"snippet":"Ann works at Acme."' in e["metadata"]
+    assert {r["node_id"] for r in g.nodes.collect()} == {"Ann", "Acme"}
+    assert len(plan(g.edges)) < 20_000 and len(plan(g.nodes)) < 20_000
